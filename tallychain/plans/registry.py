@@ -2,10 +2,277 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallychain.functions.canonical import clean_json, jcs
+from tallychain.functions.hashing import keccak256, unhex_strict
+from tallychain.functions.text import per, type_label
+from tallychain.operators import anchors, audit, chain, lookups, merkle, registry
+from tallychain.operators.numbering import numbered
+from tallychain.plans.sql import ORACLE
+from tallychain.sources import tables as t
+
+MODEL = "m-8"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return t.promoted(t.ledger(spark, d))
+
+
+def _leaves(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(t.ledger(spark, d).select("block_index", "hash"), "block_index", "pos", 0, "hash").select("pos", unhex_strict(F.col("hash")).alias("leaf"))
+
+
+def _inferences(spark: SparkSession, d: str) -> DataFrame:
+    return t.requests(spark, d).where("type = 'inference'")
+
+
+def ledger_build(s, d):
+    return t.ledger(s, d)
+
+
+def ledger_head(s, d):
+    return t.ledger(s, d).agg(F.max(F.struct("block_index", "hash")).alias("t")).select("t.block_index", "t.hash")
+
+
+def verify_chain(s, d):
+    return chain.verify(t.ledger(s, d))
+
+
+def verify_tampered(s, d):
+    return chain.verify(t.tampered(t.ledger(s, d)))
+
+
+def verify_tampered_reader(s, d):
+    return chain.verify(t.tampered(t.ledger(s, d)), "reader")
+
+
+def verify_errors(s, d):
+    return chain.errors(t.tampered(t.ledger(s, d)))
+
+
+def chain_gaps(s, d):
+    return chain.gaps(t.requests(s, d).where("block_index % 10 <> 3").withColumn("hash", F.lit("")))
+
+
+def block_by_index(s, d):
+    return lookups.by_index(t.ledger(s, d), 42)
+
+
+def block_by_hash(s, d):
+    blocks = t.ledger(s, d)
+    wanted = lookups.by_index(blocks, 42).select("hash")
+    return blocks.join(wanted, "hash", "left_semi").select(blocks.columns)
+
+
+def blocks_page(s, d):
+    return lookups.page(t.ledger(s, d).select("block_index", "hash"), ["block_index"], 10, 20)
+
+
+def blocks_page_unlimited(s, d):
+    return lookups.page(t.ledger(s, d).select("block_index", "hash"), ["block_index"], 0, 20)
+
+
+def provenance_history(s, d):
+    return lookups.history(_blocks(s, d), MODEL)
+
+
+def provenance_summary(s, d):
+    return lookups.summary(_blocks(s, d), MODEL)
+
+
+def chain_stats(s, d):
+    return lookups.stats(_blocks(s, d), t.anchors(s, d))
+
+
+def chain_height(s, d):
+    return t.requests(s, d).agg(F.count("*").alias("height"))
+
+
+def model_count(s, d):
+    return t.models(s, d).agg(F.count("*").alias("models"))
+
+
+def models_recent(s, d):
+    return lookups.recent_models(t.models(s, d)).limit(10)
+
+
+def models_page(s, d):
+    return lookups.page(t.models(s, d), ["model_id", "version"], 10, 5)
+
+
+def model_by_id(s, d):
+    return lookups.model_by_id(t.models(s, d), MODEL)
+
+
+def model_by_name(s, d):
+    return lookups.model_by_name(t.models(s, d), "model-8", "1.0.2")
+
+
+def model_ids(s, d):
+    return t.models(s, d).select("model_id")
+
+
+def events_per_model(s, d):
+    r = t.requests(s, d).agg(F.count("*").alias("n"), F.countDistinct("model_id").alias("m"))
+    return r.select(per(F.col("n").cast("double"), F.col("m")).alias("events_per_model"), F.when(F.col("n") > 0, "Active").otherwise("Starting").alias("state"))
+
+
+def blocks_per_model(s, d):
+    return lookups.per_model(_blocks(s, d))
+
+
+def latest_block(s, d):
+    return t.ledger(s, d).orderBy(F.desc("block_index")).limit(1).select("block_index", "ts", "hash")
+
+
+def type_labels(s, d):
+    return t.requests(s, d).groupBy(type_label(F.col("type")).alias("label")).agg(F.count("*").alias("blocks"))
+
+
+def merkle_root_sha256(s, d):
+    return merkle.root(_leaves(s, d), merkle.POSITIONAL)
+
+
+def merkle_root_sorted_pairs(s, d):
+    return merkle.root(_leaves(s, d), merkle.Tree("sha256", True, False))
+
+
+def merkle_root_keccak(s, d):
+    return merkle.root(_leaves(s, d), merkle.SORTED).select("n_leaves", F.concat(F.lit("0x"), "root").alias("root"))
+
+
+def prefix_roots(s, d):
+    lengths = s.createDataFrame([(1,), (51,), (500,)], "length long")
+    return merkle.prefix_roots(_leaves(s, d), lengths)
+
+
+def anchor_proofs(s, d):
+    """Anchors of three prefixes, the last one with another's root."""
+    leaves, lengths = _leaves(s, d), s.createDataFrame([(51,), (101,)], "length long")
+    made = merkle.prefix_roots(leaves, lengths).select((F.col("length") - 1).alias("last_block_index"), F.col("root").alias("merkle_root"))
+    wrong = made.where("last_block_index = 50").select(F.lit(500).cast("long").alias("last_block_index"), "merkle_root")
+    return anchors.check_roots(leaves, made.union(wrong))
+
+
+def anchor_decision(s, d):
+    return anchors.decide(t.requests(s, d), t.anchors(s, d), 20)
+
+
+def anchors_page(s, d):
+    return lookups.page(t.anchors(s, d), ["last_block_index"], 10, 10)
+
+
+def anchors_pending(s, d):
+    return anchors.pending(t.anchors(s, d))
+
+
+def anchors_confirm(s, d):
+    return anchors.confirm(t.anchors(s, d), t.receipts(s, d))
+
+
+def contract_events(s, d):
+    return t.anchor_events(s, d)
+
+
+def events_by_address(s, d):
+    e = t.anchor_events(s, d)
+    address = e.where("event_no = 7").select(F.upper("technical_address").alias("a"))
+    return e.join(address, F.lower("technical_address") == F.lower("a"), "left_semi")
+
+
+def events_by_org(s, d):
+    return anchors.by_organization(t.anchor_events(s, d), "org-7")
+
+
+def inference_accept(s, d):
+    return registry.accept_inferences(_inferences(s, d).select("inference_id", "model_id"), t.models(s, d).where("version = '1.0.14'")).select("inference_id", "model_id")
+
+
+def inference_reject(s, d):
+    return registry.reject_inferences(_inferences(s, d).select("inference_id", "model_id"), t.models(s, d).where("version = '1.0.14'")).select("inference_id", "model_id")
+
+
+def registration_unique(s, d):
+    r = t.requests(s, d).where("type = 'model_registration'")
+    asked = r.select("block_index", "model_id", F.concat(F.lit("model-"), F.substring("model_id", 3, 20)).alias("name"), F.concat(F.lit("1."), (F.col("block_index") % 4).cast("string")).alias("version"))
+    return registry.registrations(asked, t.models(s, d), "block_index").select("block_index", "model_id", "name", "version", "reason")
+
+
+def models_update(s, d):
+    m = t.models(s, d)
+    return registry.update(m, m.where("version = '1.0.1'").select("model_id", "version", F.concat("name", F.lit("-first")).alias("new_name")))
+
+
+def models_delete(s, d):
+    m = t.models(s, d)
+    return registry.delete(m, m.where("version = '1.0.9'"))
+
+
+def model_provenance_join(s, d):
+    b = _blocks(s, d).select("model_id", "block_index")
+    return t.models(s, d).join(b, "model_id", "left").groupBy("model_id", "version").agg(F.count("block_index").alias("blocks"))
+
+
+def drift_detect(s, d):
+    return audit.drift(_inferences(s, d))
+
+
+def suspicious_agents(s, d):
+    return audit.suspicious_agents(t.agent_events(s, d), 3, 100.0)
+
+
+def weird_cases(s, d):
+    return audit.weird(t.agent_events(s, d), t.models(s, d), 2_000_000_000)
+
+
+def unknown_models(s, d):
+    return audit.unknown_models(t.agent_events(s, d), t.models(s, d))
+
+
+def action_links(s, d):
+    n = F.col("block_index")
+    names = F.array(F.concat(F.lit("inf-"), n.cast("string")), F.concat(F.lit("inf-"), (n + 1).cast("string")), F.lit("inf-x"))
+    return audit.linked(t.requests(s, d).where("block_index % 100 = 0").select(n.alias("action_id"), names.alias("inference_ids")), _inferences(s, d))
+
+
+def data_structure_keys(s, d):
+    return lookups.structure(t.ledger(s, d))
+
+
+def conversation_hashes(s, d):
+    return t.table(s, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("text_hash"))
+
+
+def per_model_heads(s, d):
+    made = chain.fold(t.requests(s, d).select("model_id", "block_index", "ts", "data"), keys=("model_id",))
+    return made.groupBy("model_id").agg(F.count("*").alias("blocks"), F.max_by("hash", "block_index").alias("head"))
+
+
+def canonical_events(s, d):
+    e = t.table(s, d, "events")
+    return e.select("event_id", jcs(F.col("props")).alias("canonical"), clean_json(F.concat(F.lit('{"b":'), "props", F.lit(',"a":null,"c":[null,""]}'))).alias("cleaned"))
+
+
+def keccak_documents(s, d):
+    return t.table(s, d, "conversations").select("conv_id", "turn", F.lower(F.hex(keccak256(F.col("text").cast("binary")))).alias("digest"))
+
+
+def generated_events(s, d):
+    return t.generated_events(s, 1000, 7)
+
 
 def queries() -> dict:
-    return {}
+    own = [
+        ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
+        provenance_history, provenance_summary, chain_stats, chain_height, model_count, models_recent, models_page, model_by_id, model_by_name, model_ids, events_per_model, blocks_per_model, latest_block, type_labels,
+        merkle_root_sha256, merkle_root_sorted_pairs, merkle_root_keccak, prefix_roots, anchor_proofs, anchor_decision, anchors_page, anchors_pending, anchors_confirm, contract_events, events_by_address, events_by_org,
+        inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, data_structure_keys,
+        conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events,
+    ]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
