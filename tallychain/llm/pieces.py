@@ -19,7 +19,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The mark that stands for a space. No piece of the model holds a mark after another character.
 MARK = "▁"
 #: Encoded words that a worker keeps.
-KEPT = 400_000
+KEPT = 100_000
 
 
 class Pieces:
