@@ -160,20 +160,25 @@ def anchor_decision(s, d):
     return anchors.decide(t.requests(s, d), t.anchors(s, d), 20)
 
 
+def _text(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a nullable number as text, the same in every tool that compares results."""
+    return rows.withColumn(column, F.col(column).cast("string"))
+
+
 def anchors_page(s, d):
-    return lookups.page(t.anchors(s, d), ["last_block_index"], 10, 10)
+    return _text(lookups.page(t.anchors(s, d), ["last_block_index"], 10, 10), "block_number")
 
 
 def anchors_pending(s, d):
-    return anchors.pending(t.anchors(s, d))
+    return _text(anchors.pending(t.anchors(s, d)), "block_number")
 
 
 def anchors_confirm(s, d):
-    return anchors.confirm(t.anchors(s, d), t.receipts(s, d))
+    return _text(anchors.confirm(t.anchors(s, d), t.receipts(s, d)), "block_number")
 
 
 def contract_events(s, d):
-    return t.anchor_events(s, d)
+    return _text(t.anchor_events(s, d), "ts")
 
 
 def events_by_address(s, d):

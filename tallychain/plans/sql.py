@@ -135,10 +135,10 @@ ORACLE = {
     "merkle_root_sorted_pairs": merkle(True),
     "prefix_roots": PREFIXES,
     "anchor_decision": BASE + ANCHORS + ", x as (select (select max(i) from requests) as l, (select coalesce(max(last_block_index), -1) from anchors) as a) select l as last_block_index, a as last_anchored, l - a as new_blocks, l - a >= 20 as due, case when l - a < 20 then 'Not enough new blocks (' || (l - a) || '), wait for 20.' end as reason from x",
-    "anchors_page": BASE + ANCHORS + "select * from anchors order by last_block_index limit 10 offset 10",
-    "anchors_pending": BASE + ANCHORS + "select * from anchors where status = 'pending'",
-    "anchors_confirm": BASE + ANCHORS + "select a.merkle_root, a.last_block_index, a.tx_hash, case when a.status = 'pending' and r.block_number is not null then r.block_number else a.block_number end as block_number, a.chain_id, a.anchored_at, case when a.status = 'pending' and r.block_number is not null then 'confirmed' else a.status end as status from anchors a left join receipts r using (tx_hash)",
-    "contract_events": EVENTS,
+    "anchors_page": BASE + ANCHORS + "select * replace (cast(block_number as varchar) as block_number) from anchors order by last_block_index limit 10 offset 10",
+    "anchors_pending": BASE + ANCHORS + "select * replace (cast(block_number as varchar) as block_number) from anchors where status = 'pending'",
+    "anchors_confirm": BASE + ANCHORS + "select a.merkle_root, a.last_block_index, a.tx_hash, cast(case when a.status = 'pending' and r.block_number is not null then r.block_number else a.block_number end as varchar) as block_number, a.chain_id, a.anchored_at, case when a.status = 'pending' and r.block_number is not null then 'confirmed' else a.status end as status from anchors a left join receipts r using (tx_hash)",
+    "contract_events": "select * replace (cast(ts as varchar) as ts) from (" + EVENTS + ")",
     "events_by_address": "select * from (" + EVENTS + ") where lower(technical_address) = '0x' || substr(sha256('org7'), 1, 40)",
     "inference_accept": BASE + MODELS + "select inference_id, model_id from requests where type = 'inference' and model_id in (select model_id from models where version = '1.0.14')",
     "inference_reject": BASE + MODELS + "select inference_id, model_id from requests where type = 'inference' and model_id not in (select model_id from models where version = '1.0.14')",
