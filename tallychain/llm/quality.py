@@ -70,7 +70,8 @@ class Network:
         return np.concatenate(out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Probability of label 1 for each text, from all its chunks; they are convolved in even lots over the texts."""
+        """Probability of label 1 for each text, from all its chunks; they are convolved in even lots over the texts. Rounded, as the last
+        digits depend on what shares a lot."""
         best = np.full((len(texts), HIDDEN), -np.inf, np.float32)
         held: list[np.ndarray] = []
         owners: list[int] = []
@@ -89,7 +90,7 @@ class Network:
                 flush()
         flush()
         z = best @ self.p["out"] + self.p["out_b"]
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))), 5)
 
     def train(self, docs: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = 3e-3, seed: int = 11) -> None:
         """Adam on the logistic loss, with a rate that falls to a fiftieth; docs holds each document's sampled chunks."""
