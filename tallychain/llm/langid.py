@@ -94,7 +94,8 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, id_col: str
     if not sizes:
         return Model([], np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sizes.items()], F.lit(0.0))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    # 53 bits, as many as a double tells apart, so that the sample stays as small however many documents a language has
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) < share * float(1 << 53))
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
