@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,15 @@ MARK = "▁"
 KEPT = 100_000
 
 
+class Suffix(NamedTuple):
+    """A suffix of a prefix that starts a piece: what follows on it, and the pieces of two or more characters that end there, each with its
+    length and its known neighbours."""
+
+    text: str
+    after: dict[str, Suffix]
+    pieces: list[tuple[int, str, dict[str, bool]]]
+
+
 class Pieces:
     """A model's pieces, with encode() and decode() of whole texts.
 
@@ -37,75 +46,129 @@ class Pieces:
         usual = [i for i in range(len(self.names)) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         self.ids = {self.names[i]: i for i in usual}
         self.scores = {self.names[i]: p.get_score(i) for i in usual}
-        self.numbers = {name: [i] for name, i in self.ids.items()}
+        self.numbers = {name: np.int32(i).tobytes() for name, i in self.ids.items()}
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(len(self.names)) if p.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i in range(len(self.names)) if p.is_control(i)}
+        # the bytes that each identifier stands for
+        self.raw = [n.encode() for n in self.names]
+        for i in range(len(self.names)):
+            if p.is_control(i):
+                self.raw[i] = b""
+        for byte, i in self.bytes.items():
+            self.raw[i] = bytes([byte])
         self.unknown = p.unk_id()
-        # which lengths a piece that ends in these three characters, or is these two, can have
-        ends: dict[str, set[int]] = {}
-        for name in self.ids:
-            ends.setdefault(name[-3:], set()).add(len(name))
-        self.ends = {k: sorted(v) for k, v in ends.items() if len(k) > 1}
+        self.prefixes = {name[:n] for name in self.ids for n in range(1, len(name) + 1)}
+        self.suffixes: dict[str, Suffix] = {}
+        self.accepted: dict[str, dict[str, bool]] = {}
+        self.n_accepted = 0
+        self.merges: dict[str, tuple[list[float], list[str], list[str], bool]] = {}
         # a marked word: marks followed by what has none; a line end is a word of its own where no piece holds one
         lines = "" if any("\n" in name for name in self.ids) else "\n"
         self.word = re.compile(f"{MARK}*[^{MARK}{lines}]+|{MARK}+|{lines or MARK}+")
-        self.accepted: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Merging by priority, for two pieces' characters: the best-scoring neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def accepts(self, left: str, right: str) -> bool:
-        """Whether these two pieces stay neighbours when their characters are merged; without left, whether right stays whole."""
-        if len(self.accepted) > 5 * KEPT:
-            self.accepted.clear()
-        known = self.accepted[left, right] = self.merged(left + right) == [x for x in (left, right) if x]
-        return known
-
-    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """Each distinct word with its identifiers, in sorted order: a depth-first walk of the words' trie, holding one path of states."""
-        ids, accepted, lengths = self.ids, self.accepted, self.ends.get
-        path, last = "", [""]
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def merging(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
+        """How a piece's characters merge alone, the best-scoring neighbours first, the leftmost of equals: the score of each merge, then
+        the first and the last part before the first merge and after each, and whether they end as the whole piece."""
+        if piece not in self.merges:
+            parts, scores = list(piece), []
+            firsts, lasts = [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
+                if best is None:
+                    break
+                i = -best[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                scores.append(best[0])
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            self.merges[piece] = ([*scores, -np.inf], firsts, lasts, len(parts) == 1)
+        return self.merges[piece]
+
+    def neighbours(self, left: str, right: str) -> bool:
+        """Whether these two pieces stay neighbours when their characters are merged; without left, whether right stays whole.
+
+        Both sides merge as they do alone until a merge across their border comes first, which then is the answer.
+        """
+        scores, firsts, _, whole = self.merging(right)
+        if not left or not whole:
+            return whole
+        left_scores, _, lasts, whole = self.merging(left)
+        i = j = 0
+        while whole:
+            ours, theirs = left_scores[i], scores[j]
+            across = self.scores.get(lasts[i] + firsts[j])
+            if across is not None and across > ours and across >= theirs:
+                return False
+            if ours == theirs == -np.inf:
+                return True
+            if ours >= theirs:
+                i += 1
+            else:
+                j += 1
+        return False
+
+    def accepts(self, known: dict[str, bool], left: str, right: str) -> bool:
+        """neighbours(), remembered in known, which is right's; a character without a piece never merges, whatever follows it."""
+        self.n_accepted += 1
+        if self.n_accepted > 5 * KEPT:
+            for x in self.accepted.values():
+                x.clear()
+            self.n_accepted = 0
+        found = known[left] = self.neighbours(left if left in self.ids else "", right)
+        return found
+
+    def suffix(self, prefix: str, char: str) -> Suffix:
+        """What follows on that suffix by a character: the longest suffix that starts a piece."""
+        text = prefix + char
+        while text and text not in self.prefixes:
+            text = text[1:]
+        if text not in self.suffixes:
+            ends = [text[i:] for i in range(len(text) - 1) if text[i:] in self.ids]
+            self.suffixes[text] = Suffix(text, {}, [(len(x), x, self.accepted.setdefault(x, {})) for x in ends])
+        return self.suffixes[text]
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word with its identifiers as packed int32, in sorted order: a depth-first walk of the words' trie, holding one
+        path of states."""
+        path, last, suffixes = "", [""], [self.suffix("", "")]
         for word in sorted(words):
             same = 0
             for a, b in zip(path, word):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :]
+            del last[same + 1 :], suffixes[same + 1 :]
+            now = suffixes[same]
             for end in range(same + 1, len(word) + 1):
                 # the last piece of word[:end], given that of every shorter prefix
-                for n in (*lengths(word[end - 3 : end], ()), *lengths(word[end - 2 : end], ())) if end > 2 else range(2, end + 1):
-                    if n <= end and (piece := word[end - n : end]) in ids:
-                        before = last[end - n]  # a character without a piece never merges, whatever follows it
-                        pair = (before if before in ids else "", piece)
-                        if accepted[pair] if pair in accepted else self.accepts(*pair):
-                            last.append(piece)
-                            break
+                char = word[end - 1]
+                after = now.after.get(char)
+                if after is None:
+                    after = self.suffix(now.text, char)
+                    if after.text:
+                        now.after[char] = after
+                now = after
+                suffixes.append(now)
+                for n, piece, known in now.pieces:
+                    before = last[end - n]
+                    if known[before] if before in known else self.accepts(known, before, piece):
+                        last.append(piece)
+                        break
                 else:
-                    last.append(word[end - 1])
+                    last.append(char)
             path = word
             out, end = [], len(word)
             while end:
                 piece = last[end]
-                out.append(piece)
+                out.append(self.numbers.get(piece) or self.spelled(piece))
                 end -= len(piece)
             out.reverse()
-            yield word, tuple(i for piece in out for i in (self.numbers.get(piece) or self.spelled(piece)))
+            yield word, b"".join(out)
 
-    def spelled(self, char: str) -> list[int]:
-        """The bytes of a character without a piece, or the unknown piece in a model without bytes."""
-        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+    def spelled(self, char: str) -> bytes:
+        """The bytes of a character without a piece, or the unknown piece in a model without bytes, as packed identifiers."""
+        return np.array([self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown], np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Identifiers of each text; null or empty: none. Spaces turn into marks and one mark goes before a text, no other change is made.
@@ -121,17 +184,11 @@ class Pieces:
         self.words.update((w, self.older[w]) for w in again)
         self.words.update(self.encode_words(new - again))
         known = self.words.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, ws)), np.int32) for ws in split]
+        return [np.frombuffer(b"".join(map(known, ws)), np.int32) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of identifiers: bytes are joined to characters, marks turn into spaces, and the first space goes."""
-        raw, of_byte, names = bytearray(), self.of_byte, self.names
-        for i in ids:
-            if i in of_byte:
-                raw.append(of_byte[i])
-            elif i not in self.silent:
-                raw += names[i].encode()
-        return raw.decode(errors="replace").replace(MARK, " ").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(MARK, " ").removeprefix(" ")
 
 
 @cache
