@@ -73,10 +73,58 @@ def root(leaves: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
     return one.select("n_leaves", F.lower(F.hex("root")).alias("root"))
 
 
+def complete_nodes(leaves: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
+    """leaves(pos from 0 without gaps, leaf) -> (level, pos, node): every node whose subtree is full, the leaves at level 0.
+
+    A prefix's tree shares all its nodes with these but the last one of each level.
+    """
+    most = leaves.count()
+
+    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        nodes, first, out = [bytes(x) for x in pdf["node"]], int(pdf["pos"].iloc[0]), []
+        for up in range(1, LEVELS + 1):
+            nodes = tree.up(nodes[: len(nodes) // 2 * 2])
+            first //= 2
+            out += [(int(pdf["level"].iloc[0]) + up, first + i, x) for i, x in enumerate(nodes)]
+        return pd.DataFrame(out, columns=["level", "pos", "node"])
+
+    now, level = leaves.select(F.lit(0).alias("level"), "pos", F.col("leaf").alias("node")), 0
+    found = now
+    while most > 1:
+        run = (F.col("pos") / F.lit(1 << LEVELS)).cast("long")
+        made = now.groupBy(run.alias("run")).applyInPandas(climb, "level int, pos long, node binary")
+        found, level, most = found.union(made), level + LEVELS, most >> LEVELS
+        now = made.where(F.col("level") == level)
+    return found
+
+
 def prefix_roots(leaves: DataFrame, lengths: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
-    """lengths(length) -> (length, root): the root of the first `length` leaves. Each length reads its leaves anew, so ask for few."""
-    some = leaves.join(F.broadcast(lengths), F.col("pos") < F.col("length")).select("length", "pos", "leaf")
-    return roots(some, tree, "length").where("n_leaves = length").select("length", F.lower(F.hex("root")).alias("root"))
+    """lengths(length) -> (length, root): the root of the first `length` leaves, for each distinct length that there are leaves for.
+
+    All prefixes share one pass over the leaves: each then looks up its last leaf and, on every level with an even number of nodes, the
+    node before its last one, so a prefix costs as many rows as its tree has levels.
+    """
+    asked = lengths.select(F.col("length").cast("long").alias("length")).where("length > 0").distinct()
+    level = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")
+    spans = asked.select("length", level).withColumn("width", F.expr("ceil(length / cast(shiftleft(1L, level) as decimal(20)))").cast("long")).where("width > 1 or level = 0")
+    beside = spans.where("width > 1 and width % 2 = 0").select("length", "level", (F.col("width") - 2).alias("pos"), F.lit(False).alias("own"))
+    own = asked.select("length", F.lit(0).alias("level"), (F.col("length") - 1).alias("pos"), F.lit(True).alias("own"))
+    met = own.union(beside).join(complete_nodes(leaves, tree), ["level", "pos"])
+    parts = met.groupBy("length").agg(F.max(F.when(F.col("own"), F.col("node"))).alias("leaf"), F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("level", "node")))).alias("beside"))
+
+    @F.pandas_udf("binary")
+    def rise(length: pd.Series, leaf: pd.Series, beside: pd.Series) -> pd.Series:
+        def one(width: int, node: bytes, others: dict[int, bytes]) -> bytes:
+            level = 0
+            while width > 1:
+                node = tree.up([others[level], node] if width % 2 == 0 else [node])[0]
+                width, level = (width + 1) // 2, level + 1
+            return node
+
+        return pd.Series([one(n, bytes(x), {o["level"]: bytes(o["node"]) for o in b}) for n, x, b in zip(length, leaf, beside)])
+
+    return parts.where("leaf is not null").select("length", F.lower(F.hex(rise("length", "leaf", "beside"))).alias("root"))
 
 
 def proof(nodes: list[bytes], pos: int, tree: Tree = POSITIONAL) -> list[tuple[bool, bytes]]:

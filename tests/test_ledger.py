@@ -90,6 +90,17 @@ def test_merkle_root_on_spark_equals_the_plain_one(spark, tree, n):
     assert [(r.n_leaves, r.root) for r in row] == [(n, plain.hex())]
 
 
+@pytest.mark.parametrize("tree", [merkle.POSITIONAL, merkle.SORTED])
+def test_prefix_roots_equal_the_plain_ones(spark, tree, monkeypatch):
+    monkeypatch.setattr(merkle, "LEVELS", 2)
+    plain = [hashlib.sha256(str(i).encode()).digest() for i in range(70)]
+    leaves = spark.createDataFrame([(i, x) for i, x in enumerate(plain)], "pos long, leaf binary").repartition(3)
+    wanted = [*range(-1, 20), 31, 32, 33, 64, 65, 69, 70, 70, 71]
+    found = merkle.prefix_roots(leaves, spark.createDataFrame([(n,) for n in wanted], "length long"), tree).collect()
+    assert {r.length: r.root for r in found} == {n: plain_root(plain[:n], tree).hex() for n in wanted if 0 < n <= 70}
+    assert len(found) == len(set(wanted)) - 3
+
+
 def test_merkle_without_leaves_has_no_row(spark):
     assert merkle.root(spark.createDataFrame([], "pos long, leaf binary")).count() == 0
 
