@@ -13,8 +13,8 @@ def drift(inferences: DataFrame, key: str = "input_hash", out: str = "output_has
 
 
 def suspicious_agents(events: DataFrame, actions: int = 3, cost: float = 0.0) -> DataFrame:
-    """(agent_id, repeated_inputs, actions, total_cost): agents with inputs that got several outputs in at least `actions` cases, or whose
-    actions cost more than `cost` in all."""
+    """(agent_id, repeated_inputs, actions, total_cost): agents with inputs that got several outputs in at least `actions` cases, and
+    whose actions cost more than `cost` in all."""
     pairs = events.groupBy("agent_id", "input").agg(F.countDistinct("output").alias("outputs"), F.count("*").alias("n"), F.sum(F.col("cost").cast("decimal(18,2)")).alias("c"))
     agents = pairs.groupBy("agent_id").agg(F.count_if(F.col("outputs") > 1).alias("repeated_inputs"), F.sum("n").alias("actions"), F.sum("c").cast("double").alias("total_cost"))
     return agents.where((F.col("repeated_inputs") >= actions) & (F.col("total_cost") > cost))
