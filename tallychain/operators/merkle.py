@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallychain.functions.hashing import keccak256_many, sha256_many
 
 #: Levels that one task reduces: subtrees of 2 ** 12 leaves.
 LEVELS = 12
+#: Nodes on a level of the tree of a prefix.
+WIDTH = "cast(ceil(length / cast(shiftleft(1L, level) as decimal(20))) as long)"
 
 
 @dataclass(frozen=True)
@@ -99,32 +101,68 @@ def complete_nodes(leaves: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
     return found
 
 
-def prefix_roots(leaves: DataFrame, lengths: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
-    """lengths(length) -> (length, root): the root of the first `length` leaves, for each distinct length that there are leaves for.
-
-    All prefixes share one pass over the leaves: each then looks up its last leaf and, on every level with an even number of nodes, the
-    node before its last one, so a prefix costs as many rows as its tree has levels.
-    """
+def _spines(nodes: DataFrame, lengths: DataFrame, tree: Tree) -> DataFrame:
+    """lengths(length) -> (length, spine: the last node of each level, leaf first and root last), for each distinct length that nodes has."""
     asked = lengths.select(F.col("length").cast("long").alias("length")).where("length > 0").distinct()
     level = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")
-    spans = asked.select("length", level).withColumn("width", F.expr("ceil(length / cast(shiftleft(1L, level) as decimal(20)))").cast("long")).where("width > 1 or level = 0")
+    spans = asked.select("length", level).withColumn("width", F.expr(WIDTH)).where("width > 1 or level = 0")
     beside = spans.where("width > 1 and width % 2 = 0").select("length", "level", (F.col("width") - 2).alias("pos"), F.lit(False).alias("own"))
     own = asked.select("length", F.lit(0).alias("level"), (F.col("length") - 1).alias("pos"), F.lit(True).alias("own"))
-    met = own.union(beside).join(complete_nodes(leaves, tree), ["level", "pos"])
+    met = own.union(beside).join(nodes, ["level", "pos"])
     parts = met.groupBy("length").agg(F.max(F.when(F.col("own"), F.col("node"))).alias("leaf"), F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("level", "node")))).alias("beside"))
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<binary>")
     def rise(length: pd.Series, leaf: pd.Series, beside: pd.Series) -> pd.Series:
-        def one(width: int, node: bytes, others: dict[int, bytes]) -> bytes:
-            level = 0
+        def one(width: int, node: bytes, others: dict[int, bytes]) -> list[bytes]:
+            out = [node]
             while width > 1:
-                node = tree.up([others[level], node] if width % 2 == 0 else [node])[0]
-                width, level = (width + 1) // 2, level + 1
-            return node
+                node = tree.up([others[len(out) - 1], node] if width % 2 == 0 else [node])[0]
+                width = (width + 1) // 2
+                out.append(node)
+            return out
 
         return pd.Series([one(n, bytes(x), {o["level"]: bytes(o["node"]) for o in b}) for n, x, b in zip(length, leaf, beside)])
 
-    return parts.where("leaf is not null").select("length", F.lower(F.hex(rise("length", "leaf", "beside"))).alias("root"))
+    return parts.where("leaf is not null").select("length", rise("length", "leaf", "beside").alias("spine"))
+
+
+def prefix_roots(leaves: DataFrame, lengths: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
+    """lengths(length) -> (length, root): the root of the first `length` leaves, for each distinct length that there are leaves for.
+
+    All prefixes share one pass over the leaves: each then looks up its last leaf and, on every level with an even number of nodes, the
+    node before its last one, so a prefix costs as many rows as its tree has levels.
+    """
+    made = _spines(complete_nodes(leaves, tree), lengths, tree)
+    return made.select("length", F.lower(F.hex(F.element_at("spine", -1))).alias("root"))
+
+
+def inclusion_proofs(leaves: DataFrame, asked: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
+    """asked(length, pos) -> (length, pos, siblings: array of (level, on_left, node), root: hex): the proof that leaf pos is in the tree of the
+    first `length` leaves, for each distinct pair that there are leaves for.
+
+    A sibling before its level's last node is a complete node, met by a join of the asked positions; the last node is the prefix's own.
+    """
+    nodes = complete_nodes(leaves, tree)
+    wanted = asked.select(F.col("length").cast("long").alias("length"), F.col("pos").cast("long").alias("pos")).where("pos >= 0 and pos < length").distinct()
+    spines = _spines(nodes, wanted.select("length"), tree)
+    steps = wanted.select("length", "pos", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")).withColumn("width", F.expr(WIDTH)).where("width > 1")
+    steps = steps.withColumn("other", F.expr("shiftright(pos, level)").bitwiseXOR(F.lit(1).cast("long")))
+    inner = steps.where("other < width - 1").join(nodes.withColumnRenamed("pos", "other"), ["level", "other"]).select("length", "pos", F.struct("level", F.expr("shiftright(pos, level) % 2 = 1").alias("on_left"), "node").alias("s"))
+    last = steps.where("other >= width - 1" if tree.duplicate else "other = width - 1").join(spines, "length")
+    last = last.select("length", "pos", F.struct("level", F.lit(False).alias("on_left"), F.expr("spine[level]").alias("node")).alias("s"))
+    found = inner.union(last).groupBy("length", "pos").agg(F.sort_array(F.collect_list("s")).alias("siblings"))
+    roots_ = spines.select("length", F.lower(F.hex(F.element_at("spine", -1))).alias("root"))
+    return wanted.join(roots_, "length").join(found, ["length", "pos"], "left").select("length", "pos", F.coalesce("siblings", F.array().cast(found.schema["siblings"].dataType)).alias("siblings"), "root")
+
+
+def proven(leaf: Column, siblings: Column, root_: Column, tree: Tree = POSITIONAL) -> Column:
+    """Whether the siblings lead from a leaf to the root in hex."""
+
+    @F.pandas_udf("boolean")
+    def run(leaf: pd.Series, siblings: pd.Series, root_: pd.Series) -> pd.Series:
+        return pd.Series([proves(bytes(x), [(s["on_left"], bytes(s["node"])) for s in b], bytes.fromhex(r), tree) for x, b, r in zip(leaf, siblings, root_)])
+
+    return run(leaf, siblings, root_)
 
 
 def proof(nodes: list[bytes], pos: int, tree: Tree = POSITIONAL) -> list[tuple[bool, bytes]]:

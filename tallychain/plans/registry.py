@@ -148,12 +148,22 @@ def prefix_roots(s, d):
     return merkle.prefix_roots(_leaves(s, d), lengths)
 
 
+def anchor_prefix_roots(s, d):
+    """The root of every anchor's prefix. No SQL: it would build one tree for each anchor."""
+    return merkle.prefix_roots(_leaves(s, d), t.anchors(s, d).select((F.col("last_block_index") + 1).alias("length")))
+
+
 def anchor_proofs(s, d):
-    """Anchors of three prefixes, the last one with another's root."""
-    leaves, lengths = _leaves(s, d), s.createDataFrame([(51,), (101,)], "length long")
-    made = merkle.prefix_roots(leaves, lengths).select((F.col("length") - 1).alias("last_block_index"), F.col("root").alias("merkle_root"))
-    wrong = made.where("last_block_index = 50").select(F.lit(500).cast("long").alias("last_block_index"), "merkle_root")
-    return anchors.check_roots(leaves, made.union(wrong))
+    """Every anchor, with its prefix's true root except for one in t.WRONG_ROOT, against the roots of the leaves."""
+    return anchors.check_roots(_leaves(s, d), t.rooted_anchors(s, d, anchor_prefix_roots(s, d)).select("last_block_index", "merkle_root"))
+
+
+def inclusion_proofs(s, d):
+    """For every block, how long its proof in the whole ledger's tree is and whether it leads to the root."""
+    leaves = _leaves(s, d)
+    length = leaves.agg(F.count("*").alias("length"))
+    made = merkle.inclusion_proofs(leaves, leaves.select("pos").join(F.broadcast(length)))  # one row
+    return made.join(leaves, "pos").select("pos", F.size("siblings").alias("steps"), merkle.proven(F.col("leaf"), F.col("siblings"), F.col("root")).alias("proven"))
 
 
 def anchor_decision(s, d):
@@ -272,7 +282,7 @@ def queries() -> dict:
     own = [
         ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
         provenance_history, provenance_summary, chain_stats, chain_height, model_count, models_recent, models_page, model_by_id, model_by_name, model_ids, events_per_model, blocks_per_model, latest_block, type_labels,
-        merkle_root_sha256, merkle_root_sorted_pairs, merkle_root_keccak, prefix_roots, anchor_proofs, anchor_decision, anchors_page, anchors_pending, anchors_confirm, contract_events, events_by_address, events_by_org,
+        merkle_root_sha256, merkle_root_sorted_pairs, merkle_root_keccak, prefix_roots, anchor_prefix_roots, anchor_proofs, inclusion_proofs, anchor_decision, anchors_page, anchors_pending, anchors_confirm, contract_events, events_by_address, events_by_org,
         inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, data_structure_keys,
         conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events,
     ]

@@ -9,8 +9,8 @@ from tallychain.functions.text import iso
 from tallychain.operators.chain import fold, genesis
 from tallychain.operators.numbering import numbered
 
-#: The derived ledger's first timestamp and how far its anchors lie apart.
-GENESIS_TS, ANCHOR_STEP = 1700000000, 50
+#: The derived ledger's first timestamp, how far its anchors lie apart, and which of them have a wrong root (one in so many).
+GENESIS_TS, ANCHOR_STEP, WRONG_ROOT = 1700000000, 50, 20
 
 MODEL_REQUEST = "modelId string, modelName string, version string, modelPath string, params string, metrics map<string, double>, metadata string, mlflow struct<modelHash: string, gitCommit: string>"
 INFERENCE_REQUEST = "modelId string, inferenceId string, inputHash string, outputHash string, params string, metadata string"
@@ -88,6 +88,13 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(root.alias("merkle_root"), n.alias("last_block_index"), F.concat(F.lit("0x"), tx).alias("tx_hash"), F.when(status == "confirmed", n * 10).alias("block_number"), F.lit(11155111).cast("long").alias("chain_id"), F.col("ts").alias("anchored_at"), status.alias("status"))
 
 
+def rooted_anchors(spark: SparkSession, sf_dir: str, roots: DataFrame) -> DataFrame:
+    """anchors with the true roots of their prefixes, from roots(length, root); every WRONG_ROOT-th anchor keeps its made-up root."""
+    a, n = anchors(spark, sf_dir), F.col("last_block_index")
+    true = roots.select((F.col("length") - 1).alias("last_block_index"), F.col("root").alias("__root"))
+    return a.join(true, "last_block_index").withColumn("merkle_root", F.when((n / ANCHOR_STEP) % WRONG_ROOT == 0, F.col("merkle_root")).otherwise(F.col("__root"))).select(*a.columns)
+
+
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tx_hash, block_number) of two in three anchors; some of these have no block yet."""
     a = anchors(spark, sf_dir).withColumn("n", (F.col("last_block_index") / ANCHOR_STEP).cast("long"))
