@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -56,26 +55,34 @@ def _permute(a: list[list[np.ndarray]]) -> None:
 
 
 def keccak256_many(items: list[bytes], pad: int = 1) -> list[bytes]:
-    """Keccak-256 of each item; with pad 6 it is SHA3-256. Items of as many blocks are worked on together."""
-    by_blocks: dict[int, list[int]] = defaultdict(list)
-    for i, x in enumerate(items):
-        by_blocks[len(x) // RATE + 1].append(i)
+    """Keccak-256 of each item; with pad 6 it is SHA3-256. All items advance block by block together, the longest ones first, so that a call
+    costs as many rounds as its longest item has blocks."""
+    order = sorted(range(len(items)), key=lambda i: -len(items[i]))
+    blocks = [len(items[i]) // RATE + 1 for i in order]
+    starts = np.concatenate(([0], np.cumsum(blocks))).astype(np.int64)
+    filled = np.zeros(int(starts[-1]) * RATE, np.uint8)
+    for k, i in enumerate(order):
+        at = int(starts[k]) * RATE
+        filled[at : at + len(items[i])] = np.frombuffer(items[i], np.uint8)
+        filled[at + len(items[i])] ^= pad
+        filled[int(starts[k + 1]) * RATE - 1] ^= 0x80
+    lanes = filled.view("<u8").reshape(-1, RATE // 8)
     out: list[bytes] = [b""] * len(items)
-    for n, places in by_blocks.items():
-        filled = np.zeros((len(places), n * RATE), np.uint8)
-        for k, i in enumerate(places):
-            filled[k, : len(items[i])] = np.frombuffer(items[i], np.uint8)
-            filled[k, len(items[i])] ^= pad
-        filled[:, -1] ^= 0x80
-        lanes = filled.view("<u8").reshape(len(places), n, RATE // 8)
-        a = [[np.zeros(len(places), np.uint64) for _ in range(5)] for _ in range(5)]
-        for block in range(n):
-            for w in range(RATE // 8):
-                a[w % 5][w // 5] = a[w % 5][w // 5] ^ lanes[:, block, w]
-            _permute(a)
-        digests = np.stack([a[x][0] for x in range(4)], axis=1).astype("<u8")
-        for k, i in enumerate(places):
-            out[i] = digests[k].tobytes()
+    left = len(items)
+    a = [[np.zeros(left, np.uint64) for _ in range(5)] for _ in range(5)]
+    for block in range(blocks[0] if items else 0):
+        now = lanes[starts[:left] + block]
+        for w in range(RATE // 8):
+            a[w % 5][w // 5] = a[w % 5][w // 5] ^ now[:, w]
+        _permute(a)
+        stay = left
+        while stay and blocks[stay - 1] == block + 1:
+            stay -= 1
+        if stay < left:
+            digests = np.stack([a[x][0][stay:] for x in range(4)], axis=1).astype("<u8")
+            for k in range(stay, left):
+                out[order[k]] = digests[k - stay].tobytes()
+            a, left = [[v[:stay] for v in row] for row in a], stay
     return out
 
 

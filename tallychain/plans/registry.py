@@ -252,6 +252,13 @@ def action_links(s, d):
     return audit.linked(t.requests(s, d).where("block_index % 100 = 0").select(n.alias("action_id"), names.alias("inference_ids")), _inferences(s, d))
 
 
+def action_links_all(s, d):
+    """action_links with every request as an action."""
+    n = F.col("block_index")
+    names = F.array(F.concat(F.lit("inf-"), n.cast("string")), F.concat(F.lit("inf-"), (n + 1).cast("string")), F.lit("inf-x"))
+    return audit.linked(t.requests(s, d).select(n.alias("action_id"), names.alias("inference_ids")), _inferences(s, d))
+
+
 def data_structure_keys(s, d):
     return lookups.structure(t.ledger(s, d))
 
@@ -271,7 +278,8 @@ def canonical_events(s, d):
 
 
 def keccak_documents(s, d):
-    return t.table(s, d, "conversations").select("conv_id", "turn", F.lower(F.hex(keccak256(F.col("text").cast("binary")))).alias("digest"))
+    s.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # texts of any length
+    return t.table(s, d, "documents").select("doc_id", F.lower(F.hex(keccak256(F.col("text").cast("binary")))).alias("digest"))
 
 
 def generated_events(s, d):
@@ -283,7 +291,7 @@ def queries() -> dict:
         ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
         provenance_history, provenance_summary, chain_stats, chain_height, model_count, models_recent, models_page, model_by_id, model_by_name, model_ids, events_per_model, blocks_per_model, latest_block, type_labels,
         merkle_root_sha256, merkle_root_sorted_pairs, merkle_root_keccak, prefix_roots, anchor_prefix_roots, anchor_proofs, inclusion_proofs, anchor_decision, anchors_page, anchors_pending, anchors_confirm, contract_events, events_by_address, events_by_org,
-        inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, data_structure_keys,
+        inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, action_links_all, data_structure_keys,
         conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events,
     ]
     return {f.__name__: f for f in own}

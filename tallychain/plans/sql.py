@@ -151,6 +151,7 @@ ORACLE = {
     "weird_cases": BASE + MODELS + "," + AGENTS + ", w as (select event_id, model_id is null as missing, ts > 2000000000 as future, model_id is not null and model_id not in (select model_id from models) as unknown from agents) select * from w where missing or future or unknown",
     "unknown_models": BASE + MODELS + "," + AGENTS + "select model_id, count(*) as events from agents where model_id is not null and model_id not in (select model_id from models) group by 1",
     "action_links": BASE + ", a as (select i as action_id, unnest(['inf-' || i, 'inf-' || (i + 1), 'inf-x']) as inference_id from requests where i % 100 = 0) select a.inference_id, a.action_id, r.model_id from a left join requests r on a.inference_id = r.inference_id",
+    "action_links_all": BASE + ", a as (select i as action_id, unnest(['inf-' || i, 'inf-' || (i + 1), 'inf-x']) as inference_id from requests) select a.inference_id, a.action_id, r.model_id from a left join requests r on a.inference_id = r.inference_id",
     "data_structure_keys": CHAIN + "select block_index, case when block_index = 0 then 'metadata,modelId,type' when type = 'inference' then 'executedAt,inferenceId,inputHash,modelId,outputHash,type' else 'modelHash,modelId,modelName,type,version' end as keys, false as has_null, case when block_index = 0 then '{\"metadata\":{},\"modelId\":\"genesis\",\"type\":\"model_registration\"}' else data end as text from blocks",
     "conversation_hashes": "select conv_id, turn, sha256(text) as text_hash from conversations",
     "per_model_heads": BASE + ", k as materialized (select model_id, i, row_number() over (partition by model_id order by i) as n, i || '|' || ts || '|' || data || '|' as t from requests), h as (select model_id, n, i, sha256(t || '0') as hash from k where n = 1 union all select k.model_id, k.n, k.i, sha256(k.t || h.hash) from h join k on k.model_id = h.model_id and k.n = h.n + 1) select model_id, max(n) as blocks, arg_max(hash, n) as head from h group by 1",
