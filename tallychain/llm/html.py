@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallychain.llm.common import bounded_batches
 
 #: Elements without text of their own, elements that end a block of text, and elements that never close.
-SILENT = {"script", "style", "noscript", "template", "head", "iframe", "object", "svg", "math", "canvas", "audio", "video", "map", "datalist"}
+SILENT = {"script", "style", "noscript", "template", "head", "iframe", "object", "svg", "annotation", "annotation-xml", "canvas", "audio", "video", "map", "datalist"}
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul textarea button".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose open sibling ends where another begins, up to the element that holds them.
@@ -23,11 +23,15 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 HOLDERS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "div", "article", "section", "main", "body", "blockquote", "aside", "nav", "form", "footer", "header", "td", "th", "li"}
 #: Words of class, id and role that mark what is not the article, and what is.
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|bread-?crumbs?|comments?|disqus|respon(?:d|ses)|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|share|social|related|recommend\w*|widget|newsletter|subscribe|pagination|pager|login|search|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+#: Class names that hold a word of ASIDE and say something else: what a layout has or lacks, a post's category, its state, its own header.
+NEUTRAL = re.compile(r"(?:has|with|no|without|is|category|tag|type|format|status|hide|hides|show|shows)[_-].*|.*[_-](?:closed|open|opened|enabled|disabled|on|off)|(?:entry|post|article|story)[_-]?header", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-?text|article-?body|post-?body)(?:$|[\s_-])", re.I)
 OUTER = {"nav", "footer", "aside", "form", "menu", "button", "select", "textarea", "dialog", "header", "search"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: HTML's white space and no other, with the no-break space that pages use for it.
 SPACE = re.compile("[\t\n\x0b\x0c\r \xa0]+")
+#: What ends a sentence.
+ENDS = ".!?:;\"'”»…"
 #: Costs in thousandths: smoothness between neighbours of one parent, of different parents, and next ones below one grandparent.
 SAME, OTHER, NEAR = 900, 400, 300
 
@@ -39,6 +43,8 @@ class Block:
     tag: str
     cost: float
     linked: int
+    #: Elements that hold it and are marked by a name or are forms, which a page's own text can outrank.
+    marked: tuple[int, ...] = ()
 
 
 class Blocks(HTMLParser):
@@ -46,7 +52,7 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, float]] = []
+        self.stack: list[tuple[str, int, float, bool]] = []
         self.made, self.silent, self.links = 0, 0, 0
         self.parts: list[str] = []
         self.linked = 0
@@ -56,24 +62,28 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
             held = [x for x in self.stack if x[0] in BLOCKS]
-            self.out.append(Block(text, tuple(x[1] for x in held), held[-1][0] if held else "", sum(x[2] for x in self.stack), self.linked))
+            self.out.append(Block(text, tuple(x[1] for x in held), held[-1][0] if held else "", sum(x[2] for x in self.stack), self.linked, tuple(x[1] for x in self.stack if x[3])))
         self.parts, self.linked = [], 0
 
-    def weight(self, tag: str, attrs: dict[str, str]) -> float:
-        """What an element adds to the log-odds that text in it belongs to the article."""
+    def weight(self, tag: str, attrs: dict[str, str]) -> tuple[float, bool]:
+        """What an element adds to the log-odds that text in it belongs to the article, and whether it is marked: most of a page's text
+        outranks the penalty of that."""
         inside = any(x[0] in ("article", "main") for x in self.stack)
         named = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
         if tag in ("html", "body"):
-            return 0
+            return 0, False
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or ""):
-            return -9
+            return -9, False
         if tag == "header" and inside:
-            return -1
-        if tag in OUTER or ASIDE.search(named):
-            return -9
+            return -1, False
+        if tag in OUTER and tag != "form":
+            return -9, False
         if tag in ("article", "main"):
-            return 0 if inside else 4
-        return 2 if MAIN.search(named) and not inside else 0
+            return 0 if inside else 4, False
+        good = 2 if MAIN.search(named) and not inside else 0
+        if tag == "form" or any(ASIDE.search(x) for x in named.split() if not NEUTRAL.fullmatch(x)):
+            return good, True
+        return good, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -97,7 +107,7 @@ class Blocks(HTMLParser):
                 if self.stack[n][0] in HOLDERS:
                     break
         self.made += 1
-        self.stack.append((tag, self.made, self.weight(tag, dict(attrs))))
+        self.stack.append((tag, self.made, *self.weight(tag, dict(attrs))))
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -115,7 +125,7 @@ class Blocks(HTMLParser):
                 break
 
     def pop(self, n: int) -> None:
-        for tag, _, _ in self.stack[n:]:
+        for tag, *_ in self.stack[n:]:
             self.silent -= tag in SILENT
             self.links -= tag == "a"
         del self.stack[n:]
@@ -131,14 +141,34 @@ def blocks(html: str | None) -> list[Block]:
     p.feed(html or "")
     p.close()
     p.flush()
-    return p.out
+    return weighed(p.out)
+
+
+def weighed(found: list[Block]) -> list[Block]:
+    """The blocks with -9 for each marked element that holds them. An element with four fifths of the sentences that are not out anyway
+    has no such penalty, unless text outside it stands where the page says that its article is; its gain by name is then kept too."""
+    size = lambda b: len(b.text) if b.text.count(" ") >= 4 and b.text[-1] in ENDS and b.linked <= 0.6 * len(b.text) and b.cost > -5 else 0
+    all_, named, held, held_named = 0, 0, Counter(), Counter()
+    for b in found:
+        n = size(b)
+        all_ += n
+        own = len(b.text) if b.cost >= 2 and b.linked <= 0.6 * len(b.text) else 0
+        named += own
+        for e in b.marked:
+            held[e] += n
+            held_named[e] += own
+    excused = {e for e, n in held.items() if n and 5 * n >= 4 * all_ and held_named[e] == named}
+    for b in found:
+        fined = [e for e in b.marked if e not in excused]
+        b.cost = min(b.cost, 0) - 9 * len(fined) if fined else b.cost
+    return found
 
 
 def odds(b: Block) -> float:
     """Log-odds that a block is content: its elements, its words, sentences and links."""
     words = b.text.count(" ") + 1
     score = b.cost + (1.0 if words >= 12 else 0.0 if words >= 5 else -0.6)
-    score += 0.5 if b.text[-1] in ".!?:;\"'”»…" else -0.3
+    score += 0.5 if b.text[-1] in ENDS else -0.3
     score -= 2.5 if b.linked > 0.6 * len(b.text) else 0
     score -= 2.5 if "©" in b.text or "all rights reserved" in b.text.lower() and b.cost <= 0 else 0
     return score + (1.0 if b.tag == "h1" else 0)
