@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -10,145 +12,249 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import staged
+from tallychain.llm.common import bounded_batches, staged
 
-#: Rows of a block of candidates and of a block of queries.
-BLOCK_ROWS, QUERY_ROWS = 4096, 256
-#: Largest absolute component; beyond it products of 2 ** 10 dimensions might not fit a long.
-LIMIT = 1 << 26
+#: Rows of a block of candidates, blocks that a cell of the grid takes, and the least and most queries of a batch.
+BLOCK_ROWS, CELL_BLOCKS, BATCH_LEAST, BATCH_MOST = 4096, 4, 256, 8192
+#: Queries whose bounds are held at once, and the shares of the lists after which bounds are taken.
+AT_ONCE, SHARES = 256, (0.25, 0.5, 0.65, 0.8)
+#: Below this, sums of whole numbers in doubles are exact; scaled components from MOST on leave a score's decimal(38, 0).
+EXACT, MOST = 2.0**53, 2.0**56
+#: Components whose signs make a vector's direction.
+SIGNS = 16
 
 
 def quantized(rows: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v: array<long>), v = floor(scale * x). Null vectors and those with null or non-finite components are left out."""
+    """(vec_id, v: array<double> of whole numbers), v = floor(scale * x), whatever their size. Null and empty vectors and those with null or
+    non-finite components are left out; a scaled component of MOST or more is an error, as its scores have no exact type."""
     x = F.col(vector_col).cast("array<double>")
-    good = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
-    whole = F.transform(x, lambda c: F.greatest(F.least(F.floor(c * F.lit(float(scale))), F.lit(LIMIT)), F.lit(-LIMIT)).cast("long"))
+    good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
+    y = lambda c: c * F.lit(float(scale))
+    whole = F.transform(x, lambda c: F.when(F.abs(y(c)) < MOST, F.floor(y(c)).cast("double")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("double")))
     return rows.where(good).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(part, dims, ids, data): vectors of one length, packed by as many rows, in the order of each partition."""
+def packed(vectors: list[np.ndarray]) -> tuple[int, str, bytes, np.ndarray]:
+    """(dims, type, bytes, matrix) of whole-number vectors in the smallest integer type that holds them, shorter ones filled up with zeros."""
+    dims = max(map(len, vectors))
+    x = np.zeros((len(vectors), dims))
+    for n, v in enumerate(vectors):
+        x[n, : len(v)] = v
+    most = np.abs(x).max(initial=0)
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+    return dims, kind, x.astype(kind).tobytes(), x
+
+
+def blocks(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, ids, dims, kind, data, lists): vectors packed by as many rows in the order of each partition, each block with its sorted lists: for
+    each dimension its rows in rising order of their component, made once and read by every batch of queries."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[list, list]] = {}
         part, made = TaskContext.get().partitionId(), 0
+        ids: list[int] = []
+        held: list[np.ndarray] = []
 
-        def out(dims: int) -> pd.DataFrame:
+        def out() -> pd.DataFrame:
             nonlocal made
-            ids, vs = held.pop(dims)
+            dims, kind, data, x = packed(held)
+            lists = np.argsort(x, axis=0, kind="stable").T.astype("<u2").tobytes()
+            row = pd.DataFrame([((part << 32) + made, np.array(ids, "<i8").tobytes(), dims, kind, data, lists)], columns=["block", "ids", "dims", "kind", "data", "lists"])
             made += 1
-            return pd.DataFrame([((part << 32) + made, dims, np.array(ids, "<i8").tobytes(), np.array(vs, "<i4").tobytes())], columns=["block", "dims", "ids", "data"])
+            ids.clear()
+            held.clear()
+            return row
 
         for pdf in batches:
             for i, v in zip(pdf["vec_id"], pdf["v"]):
-                ids, vs = held.setdefault(len(v), ([], []))
                 ids.append(i)
-                vs.append(v)
+                held.append(v)
                 if len(ids) >= rows:
-                    yield out(len(v))
-        for dims in list(held):
-            yield out(dims)
+                    yield out()
+        if ids:
+            yield out()
 
-    return vectors.mapInPandas(pack, "block long, dims int, ids binary, data binary")
+    return vectors.mapInPandas(pack, "block long, ids binary, dims int, kind string, data binary, lists binary")
 
 
 class SortedLists:
-    """A block's components as one sorted list per dimension."""
+    """A block's components as one sorted list per dimension, read for many queries at once.
+
+    Reading goes down the lists from both ends: queries with a positive component take the upper end, those with a negative one the
+    lower. What is read so far is kept as two matrices, with the bound of what is not read in the open places, so that a product with
+    the queries' positive and negative parts gives the bounds of all scores.
+    """
+
+    def __init__(self, data: np.ndarray, lists: np.ndarray | None = None) -> None:
+        self.data = np.asarray(data, np.float64)
+        self.rows = np.argsort(self.data, axis=0, kind="stable").T if lists is None else lists.astype(np.intp)
+        self.values = np.take_along_axis(self.data, self.rows.T, axis=0).T
+        self.low, self.high = self.values[:, 0], self.values[:, -1]
+        self.longest = float(np.sqrt((self.data**2).sum(1).max()))
+        self.stages: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.data = data
-        self.rows = np.ascontiguousarray(np.argsort(data, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.ascontiguousarray(np.take_along_axis(data, self.rows.T, axis=0).T.astype(np.float64))
+    def ceiling(self, q: np.ndarray) -> np.ndarray:
+        """What no score of queries q (one a row) is above: by each list's ends, and by the longest row."""
+        d = q.shape[1]
+        by_ends = np.maximum(q, 0) @ self.high[:d] + np.minimum(q, 0) @ self.low[:d]
+        return np.minimum(by_ends, np.sqrt((q**2).sum(1)) * self.longest) + self.slack(q)
 
-    def qualify(self, q: np.ndarray, k: int, floor: float, skip: np.ndarray, shares: tuple[float, ...] = (0.3, 0.45, 0.6, 0.75)) -> np.ndarray:
-        """Rows, without those of the mask `skip`, that may be among the k best of all that score at least `floor`.
+    def size(self, q: np.ndarray) -> np.ndarray:
+        """What the sum of a score's terms without their signs is at most."""
+        return np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high))[: q.shape[1]]
 
-        Reads every list from the end that scores best for q. After each share of the rows it bounds the scores: an unread component is at
-        best what was last read of its list, at worst the other end. Rows whose upper bound is under both the floor and the k-th
-        largest lower bound are outsiders for good. It stops when few others are left, as resolving them is cheaper than reading on.
+    def slack(self, q: np.ndarray) -> np.ndarray:
+        """More than rounding can change a bound by."""
+        return 1e-12 * q.shape[1] * self.size(q) + 1e-6
+
+    def read(self, depth: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The lists read to a depth from the upper and from the lower end; open places hold the best or the worst that they can."""
+        if (depth, best) not in self.stages:
+            d, n = self.rows.shape
+            dims = np.arange(d)[:, None]
+            up = np.repeat((self.values[:, n - depth] if best else self.low)[:, None], n, axis=1)
+            up[dims, self.rows[:, n - depth :]] = self.values[:, n - depth :]
+            down = np.repeat((self.values[:, depth - 1] if best else self.high)[:, None], n, axis=1)
+            down[dims, self.rows[:, :depth]] = self.values[:, :depth]
+            self.stages[depth, best] = up, down
+        return self.stages[depth, best]
+
+    def qualify(self, q: np.ndarray, k: int, floors: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
+        """For each query (a row of q) the rows, without those of its row of the mask `skip`, that may be among the k best of all that score at
+        least its floor.
+
+        After each share of the lists it bounds the scores. Rows whose upper bound is under both the floor and the k-th largest lower bound are
+        outsiders for good. A query stops when few others are left, as resolving them is cheaper than reading on.
         """
-        n, used = len(self.data), np.flatnonzero(q)
-        alive = np.flatnonzero(~skip)
-        if not len(used) or len(alive) <= 4 * k:
-            return alive
-        w = q[used].astype(np.float64)[:, None]
-        up = w[:, 0] > 0
-        # the lists in the direction of the query
-        rows = np.where(up[:, None], self.rows[used, ::-1], self.rows[used])
-        terms = np.where(up[:, None], self.values[used, ::-1], self.values[used]) * w
-        worst = terms[:, -1]
-        read, done = np.zeros(n), 0
-        got_rows: list[np.ndarray] = []
-        for share in shares:
+        n, m = len(self.data), len(q)
+        d = q.shape[1]
+        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+        slack = self.slack(q)
+        alive: list[np.ndarray] = [np.flatnonzero(~s) for s in skip]
+        few = max(4 * k, n // 20)
+        going = np.array([i for i in range(m) if len(alive[i]) > few], int)
+        done = 0
+        for share in SHARES:
             depth = max(done + 1, int(n * share))
-            if depth >= n:
+            if depth >= n or not len(going):
                 break
-            at = rows[:, done:depth].ravel()
-            read += np.bincount(at, terms[:, done:depth].ravel(), n)
-            got_rows.append(rows[:, done:depth])
-            done, last = depth, terms[:, depth - 1]
-            seen_last = sum(np.bincount(r.ravel(), np.repeat(last, r.shape[1]), n) for r in got_rows)
-            upper = read + last.sum() - seen_last
-            slack = 1e-9 * (1 + abs(upper).max())
-            bar = floor
-            if floor == -np.inf:
-                seen_worst = sum(np.bincount(r.ravel(), np.repeat(worst, r.shape[1]), n) for r in got_rows)
-                lower = np.where(skip, -np.inf, read + worst.sum() - seen_worst)
-                bar = np.partition(lower, n - k)[n - k]
-            alive = np.flatnonzero((upper >= bar - slack) & ~skip)
-            if len(alive) <= max(4 * k, n // 20):
-                return alive
+            done = depth
+            up, down = self.read(depth, True)
+            upper = plus[going] @ up[:d] + minus[going] @ down[:d]
+            bar = floors[going]
+            open_ = np.flatnonzero(np.isneginf(bar))
+            if len(open_):  # nothing known from blocks before
+                low_up, low_down = self.read(depth, False)
+                lower = plus[going[open_]] @ low_up[:d] + minus[going[open_]] @ low_down[:d]
+                lower[skip[going[open_]]] = -np.inf
+                bar = bar.copy()
+                bar[open_] = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else -np.inf
+            keep = (upper >= (bar - slack[going])[:, None]) & ~skip[going]
+            left = keep.sum(1)
+            for at, i in enumerate(going):
+                if left[at] <= few or share == SHARES[-1]:
+                    alive[i] = np.flatnonzero(keep[at])
+            going = going[left > few]
         return alive
 
+    def scores(self, q: np.ndarray, rows: np.ndarray, exact: bool) -> list[int] | np.ndarray:
+        """Exact scores: in doubles where all sums stay exact, else as Python integers."""
+        x = self.data[rows, : len(q)]
+        if exact:
+            return x @ q
+        whole = [int(c) for c in q]
+        return [sum(a * int(b) for a, b in zip(whole, row)) for row in x.tolist()]
+
     def best(self, q: np.ndarray, k: int, floor: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that qualify with their exact scores."""
-        rows = self.qualify(q, k, floor, skip)
-        return rows, self.data[rows].astype(np.int64) @ q.astype(np.int64)
+        """Rows that qualify for one query, with their exact scores."""
+        q = np.asarray(q, np.float64)
+        rows = self.qualify(q[None], k, np.array([floor]), skip[None])[0]
+        return rows, np.array(self.scores(q, rows, bool(self.size(q[None])[0] < EXACT)), object).astype(np.int64)
+
+
+class Batch:
+    """A batch of queries with the k best rows found so far for each."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
+        self.found: list[list[tuple]] = [[] for _ in ids]  # (-score, id), best first
+        self.floors = np.full(len(ids), -np.inf)
+
+    def search(self, ids: np.ndarray, lists: SortedLists) -> None:
+        d = min(self.q.shape[1], lists.data.shape[1])  # a shorter vector has zeros in the other places
+        q = self.q[:, :d]
+        ceiling, exact = lists.ceiling(q), lists.size(q) < EXACT
+        ahead = np.flatnonzero(ceiling >= self.floors)
+        ahead = ahead[np.argsort(-ceiling[ahead], kind="stable")]
+        for at in range(0, len(ahead), AT_ONCE):
+            some = ahead[at : at + AT_ONCE]
+            skip = ids[None, :] == self.ids[some, None]
+            for i, rows in zip(some, lists.qualify(q[some], self.k, self.floors[some], skip)):
+                scores = lists.scores(q[i], rows, exact[i])
+                if len(rows) > 8 * self.k:  # all that can be among the k best, ties with the last included
+                    order = np.array(scores, np.float64)
+                    near = order >= np.partition(order, len(order) - self.k)[len(order) - self.k] - 1e-9 * np.abs(order).max()
+                    rows, scores = rows[near], [s for s, x in zip(scores, near) if x]
+                self.found[i] = sorted([*self.found[i], *((-int(s), int(c)) for s, c in zip(scores, ids[rows]))])[: self.k]
+                if len(self.found[i]) >= self.k:
+                    self.floors[i] = float(-self.found[i][-1][0])
+
+    def rows(self) -> pd.DataFrame:
+        out = [(int(q), c, Decimal(-s)) for q, best in zip(self.ids, self.found) for s, c in best]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows by integer inner product, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score: decimal(38, 0)): each query's k best rows by integer inner product, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's own id, of the query's length. All scores
-    are exact. Rows that repeat an id as a candidate are each ranked; a query id that repeats is answered once, for its first row in
-    order of its components. Null vectors, and vectors with null or non-finite components, take no part; an empty table gives an empty table.
+    Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's own id. A shorter vector counts as zero in
+    the places it lacks. All scores are exact, of any size. Rows that repeat an id as a candidate are each ranked; a query id that repeats
+    is answered once, for its first row in order of its components. Null and empty vectors, and vectors with null or non-finite components,
+    take no part; an empty table gives an empty table.
 
-    Blocks of candidates meet blocks of queries by an equi-join on the query block. A task keeps k rows per query, whose worst score
-    is the floor for the blocks that follow; the tasks' rows meet in one window per query.
+    Batches of queries and slices of candidate blocks make a grid; a cell takes one batch and few blocks, whatever the sizes of both, one block in
+    memory at a time. Candidates of like direction share a block. The worst of the k rows that a query has is the floor for the blocks
+    that follow, and a block whose ends are under it is not read. The cells' rows meet in one window per query.
     """
+    spark = rows.sparkSession
+    bounded_batches(spark)
     vectors = quantized(rows, scale, id_col, vector_col)
-    asked = vectors.where(F.col("vec_id") % every == 0)
+    sign = F.aggregate(F.slice("v", 1, SIGNS), F.lit(0), lambda a, c: a * 2 + (c >= 0).cast("int"))
+    candidates = staged(blocks(vectors.withColumn("sign", sign).repartitionByRange("sign", "vec_id").sortWithinPartitions("sign", "vec_id").select("vec_id", "v")), "candidates")
     first = Window.partitionBy("vec_id").orderBy("v")
-    asked = asked.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    queries = staged(blocks(asked, QUERY_ROWS), "queries")
-    numbers = [r.block for r in queries.select("block").collect()]  # a number per QUERY_ROWS queries
-    against = F.explode(F.array(*map(F.lit, numbers)).cast("array<long>")).alias("block")
-    candidates = blocks(vectors, BLOCK_ROWS).select(against, F.col("dims").alias("c_dims"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    pairs = candidates.join(queries, "block").where("dims = c_dims")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], tuple] = {}  # scores, ids and the query's id
-        lists, known = None, None
-        for pdf in batches:
+    asked = vectors.where(F.col("vec_id") % every == 0).withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    asked = staged(asked.select("vec_id", "v"), "queries")
+
+    n_queries, n_blocks = asked.count(), candidates.count()
+    size = min(BATCH_MOST, max(BATCH_LEAST, math.ceil(n_queries / 8)))
+    batches, slices = max(1, math.ceil(n_queries / size)), max(1, math.ceil(n_blocks / CELL_BLOCKS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = asked.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int")).groupBy("batch").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+    absent = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("dims", "int"), ("kind", "string"), ("data", "binary"), ("lists", "binary"))]
+    ask = own.select("batch", each(slices).alias("slice"), F.lit(-1).cast("long").alias("block"), "queries", *absent)
+    dealt = F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice")
+    none = F.lit(None).cast(own.schema["queries"].dataType).alias("queries")
+    offer = candidates.select(each(batches).alias("batch"), dealt, "block", none, "ids", "dims", "kind", "data", "lists")
+    cells = ask.union(offer).repartition(batches * slices, "batch", "slice").sortWithinPartitions("batch", "slice", "block")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, cell = None, None
+        for pdf in frames:
             for r in pdf.itertuples(index=False):
-                ids, q_ids = np.frombuffer(r.c_ids, "<i8"), np.frombuffer(r.ids, "<i8")
-                qs = np.frombuffer(r.data, "<i4").reshape(len(q_ids), r.dims)
-                if known != r.c_ids:
-                    lists, known = SortedLists(np.frombuffer(r.c_data, "<i4").reshape(len(ids), r.dims)), r.c_ids
-                for n, q in enumerate(qs):
-                    key = (r.block, n)
-                    mine = held.get(key)
-                    floor = float(mine[0][-1]) if mine is not None and len(mine[0]) >= k else -np.inf
-                    at, s = lists.best(q, k, floor, ids == q_ids[n])
-                    i = ids[at]
-                    if mine is not None:
-                        s, i = np.concatenate((mine[0], s)), np.concatenate((mine[1], i))
-                    order = np.lexsort((i, -s))[:k]
-                    held[key] = (s[order], i[order], q_ids[n])
-        for s, i, q in held.values():
-            yield pd.DataFrame({"query_id": np.full(len(s), q), "vec_id": i, "score": s})
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+                if (r.batch, r.slice) != cell:
+                    if now is not None:
+                        yield now.rows()
+                    now, cell = None, (r.batch, r.slice)
+                if r.block < 0:
+                    ids = np.array([x["vec_id"] for x in r.queries], np.int64)
+                    now = Batch(ids, packed([np.asarray(x["v"], np.float64) for x in r.queries])[3], k)
+                elif now is not None:
+                    ids = np.frombuffer(r.ids, "<i8")
+                    data = np.frombuffer(r.data, r.kind).reshape(len(ids), int(r.dims))
+                    now.search(ids, SortedLists(data, np.frombuffer(r.lists, "<u2").reshape(int(r.dims), len(ids))))
+        if now is not None:
+            yield now.rows()
+
+    found = cells.mapInPandas(search, "query_id long, vec_id long, score decimal(38,0)")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
