@@ -295,3 +295,97 @@ def test_lists_stop_early_and_stay_exact():
 @pytest.mark.parametrize("run", [simhash.near_duplicates, media.text_media, tokens.token_counts, pieces.encode_documents])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def plain_mix(docs, share=1.5, most=2.0):
+    """copies of each (id, source, text) of docs, in plain Python."""
+    size = lambda t: len([w for w in (t or "").translate(dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")).split(" ") if w])
+    rows = [(i, s, size(t), int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:12], 16)) for i, t, s in docs]
+    sources = sorted({s for _, s, _, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, x, n, _ in rows if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sources)}
+    target, left = {}, set(sources)
+    while True:
+        rest = share * sum(total.values()) - sum(most * total[s] for s in sources if s not in left)
+        level = rest / (sum(weight[s] for s in left) or 1)
+        over = {s for s in left if weight[s] * level > most * total[s]}
+        if not over:
+            break
+        left -= over
+    target = {s: weight[s] * level if s in left else most * total[s] for s in sources}
+    out = {}
+    for s in sources:
+        own = [(i, n, u, max(1, n.bit_length())) for i, x, n, u in rows if x == s]
+        low, high = 0.0, 1e18
+        for _ in range(200):  # the level of expected copies by halving
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(most, mid * m) for _, n, _, m in own) < target[s] else (low, mid)
+        expect = [min(most, high * m) if target[s] < most * total[s] else most for *_, m in own]
+        expect = [round(e) if abs(e - round(e)) < 1e-9 else e for e in expect]
+        owed = target[s] - sum(int(e) * n for e, (_, n, _, _) in zip(expect, own))
+        luck = lambda u: (u + 0.5) / 2**48
+        ranked = sorted(((luck(u) / (1 - luck(u)) / ((e - int(e)) / (1 - e + int(e))), u, i, n) for e, (i, n, u, _) in zip(expect, own) if e > int(e)), key=lambda x: x[:2])
+        upto, more = 0, set()
+        for at, (_, _, i, n) in enumerate(ranked):
+            upto += n
+            more |= {(i, n)} if 2 * upto - n <= 2 * owed + 1e-6 else set()
+        for e, (i, n, _, _) in zip(expect, own):
+            out[i, s, n] = int(e) + ((i, n) in more)
+    return out, target
+
+
+@pytest.fixture(scope="module")
+def mixing_rows():
+    r = random.Random(12)
+    n = lambda: int(r.choice([3, 20, 60, 150, 700]) * r.uniform(0.5, 1.5))
+    return [(i, " ".join(["w"] * n()), ["hot", "hot", "b", "c", None, "d"][i % 6]) for i in range(900)] + [(900, None, "b"), (901, " \t", "hot")]
+
+
+@pytest.mark.parametrize("step_rows", [2000, 10])
+def test_mixing_equals_plain_python(spark, mixing_rows, step_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP_ROWS", step_rows)
+    rows = mixing.mix(spark.createDataFrame(mixing_rows, "doc_id long, text string, source string")).collect()
+    want, target = plain_mix(mixing_rows)
+    assert len(rows) == len(mixing_rows) and {(r.doc_id, r.source, r.size): r.copies for r in rows} == want
+    assert all(abs(r.target - target[r.source]) < 1e-6 for r in rows)
+
+
+def test_pareto_order_differs_from_the_order_of_the_random_numbers(spark, mixing_rows):
+    df = spark.createDataFrame(mixing_rows, "doc_id long, text string, source string")
+    u = {r.doc_id: r.u for r in mixing.sized(df).collect()}
+    drawn = [r for r in mixing.mix(df).collect() if r.chance > 0]
+    differ = 0
+    for source in {r.source for r in drawn}:
+        own = [r for r in drawn if r.source == source]
+        more = [r for r in own if r.copies > int(r.expected)]
+        by_u = sorted(own, key=lambda r: u[r.doc_id])[: len(more)]
+        differ += 0 < len(more) < len(own) and {r.doc_id for r in more} != {r.doc_id for r in by_u}
+    assert differ
+
+
+def test_inclusion_comes_near_the_chances(spark, mixing_rows):
+    """Over many seeds each class of size is drawn about as often as its chance says."""
+    from collections import defaultdict
+
+    own = [x for x in mixing_rows if x[2] in ("b", "c")]
+    df = spark.createDataFrame([(seed * 10_000 + i, t, f"{seed:02d}{s}") for seed in range(30) for i, t, s in own], "doc_id long, text string, source string")
+    hits, chances = defaultdict(list), {}
+    for r in mixing.mix(df).collect():
+        if r.chance > 0:
+            key = (r.target / r.source_size, r.size.bit_length())
+            hits[key].append(r.copies - int(r.expected))
+            chances[key] = r.chance
+    big = [k for k in hits if len(hits[k]) >= 200]
+    assert len({round(chances[k], 2) for k in big}) >= 5
+    assert all(abs(np.mean(hits[k]) - chances[k]) < 0.08 for k in big)
+
+
+def test_mixed_takes_each_row_as_often_as_planned(spark, mixing_rows):
+    from collections import Counter
+
+    df = spark.createDataFrame([(*x, "c", "s") for x in mixing_rows], "doc_id long, text string, source string, copies string, size string")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    found = Counter(r.doc_id for r in out.collect())
+    want, _ = plain_mix(mixing_rows)
+    assert found == Counter({i: c for (i, _, _), c in want.items() if c})
