@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import bounded_batches, staged
+from tallychain.llm.common import bounded_batches, shared_dir, staged
 
 #: Where the public vocabulary lies and how it splits text before merging (see its README); identifier 50256 is free in it.
 RANKS, SEPARATOR = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DTYPE, BLOCK_TOKENS = "<u2", 1 << 18
+#: Blocks of a file whose running sums one task makes.
+SPAN = 4096
 
 
 @cache
@@ -28,41 +33,64 @@ def encoder(path: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pack(docs: DataFrame, ranks: str = RANKS, block: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as flat files, one per partition: rows (file, block, tokens) with blocks cut anywhere, and the order of the ids beside them.
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, and the path in it; Spark writes file:/x for file:///x."""
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
 
-    A row has either tokens (16-bit identifiers, each document followed by the separator) or ids, and first: the place of the first of these
-    ids in its file. A null text has no tokens but its separator.
+
+def write_flat(docs: DataFrame, folder: str, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write docs as flat token files below folder, one per partition: 16-bit identifiers and nothing else, each document's followed by the
+    separator. Gives the order of the ids, which the files don't hold: rows (file, path, first: place of the first id in its file, ids), and
+    for each file one row with its bytes.
+
+    A file's name is new in each attempt, and the table, which is written once, names the files of the attempts that counted; what a lost
+    task left behind is not read. A null text has no tokens but its separator. Any folder that pyarrow.fs opens will do.
     """
     bounded_batches(docs.sparkSession, 500)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, encode = TaskContext.get().partitionId(), encoder(ranks).encode_ordinary
-        made, held, n, seen = 0, [], 0, 0
-        names = ["file", "block", "tokens", "first", "ids"]
-        for pdf in batches:
-            for text in pdf["text"]:
-                held.append(np.array([*encode(text or ""), SEPARATOR], DTYPE))
-                n += len(held[-1])
-                if n >= block:
-                    flat, cut = np.concatenate(held), n // block * block
-                    yield pd.DataFrame([(file, made + i, flat[i * block : (i + 1) * block].tobytes(), None, None) for i in range(cut // block)], columns=names)
-                    made, held, n = made + cut // block, [flat[cut:]], n - cut
-            yield pd.DataFrame([(file, None, None, seen, [None if pd.isna(x) else int(x) for x in pdf["doc_id"]])], columns=names)
-            seen += len(pdf)
-        if n:
-            yield pd.DataFrame([(file, made, np.concatenate(held).tobytes(), None, None)], columns=names)
-
-    return own.mapInPandas(run, "file int, block long, tokens binary, first long, ids array<long>")
-
-
-def read_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
-    """(file, block, tokens) of the flat token files under path; each file must fit a task, as Spark's binaryFile source reads it whole."""
+        path = f"{folder}/{file:06d}-{uuid.uuid4().hex}.tokens"
+        system, place = _opened(path)
+        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        seen, written = 0, 0
+        with system.open_output_stream(place) as out:
+            for pdf in batches:
+                for text in pdf["text"]:
+                    flat = np.array([*encode(text or ""), SEPARATOR], DTYPE)
+                    out.write(flat.tobytes())
+                    written += flat.nbytes
+                yield pd.DataFrame([(file, path, seen, [None if pd.isna(x) else int(x) for x in pdf["doc_id"]], None)], columns=["file", "path", "first", "ids", "bytes"])
+                seen += len(pdf)
+        yield pd.DataFrame([(file, path, None, None, written)], columns=["file", "path", "first", "ids", "bytes"])
+
+    return staged(own.mapInPandas(run, "file int, path string, first long, ids array<long>, bytes long"), "flat")
+
+
+def flat_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file: its path, path, bytes) of the flat token files under path; their contents are not read for that."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "path", F.col("length").alias("bytes"))
+
+
+def read_blocks(files: DataFrame, block: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
+    """files(file, path, bytes) -> (file, block, tokens): each task reads its byte ranges of files of any size, cut anywhere between tokens."""
     step = block * np.dtype(dtype).itemsize
-    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.octet_length("content") / step) - 1)))
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", cut.alias("block"))
-    return files.select("file", "block", F.expr(f"substring(content, cast(block * {step} + 1 as int), {step})").alias("tokens"))
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("bytes") / step) - 1))).alias("block")
+    kind = files.schema["file"].dataType.simpleString()
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    ranges = files.where("bytes > 0").select("file", "path", cut).repartition(4 * tasks, "path", "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, rows in pdf.groupby("path"):
+                system, place = _opened(path)
+                with system.open_input_file(place) as f:
+                    for file, n in zip(rows["file"], rows["block"]):
+                        f.seek(int(n) * step)
+                        yield pd.DataFrame([(file, n, f.read(step))], columns=["file", "block", "tokens"])
+
+    return ranges.mapInPandas(run, f"file {kind}, block long, tokens binary")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
@@ -86,25 +114,40 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> D
 
     found = blocks.select("file", "block", "tokens").mapInPandas(find, f"file {kind}, block long, ends long, head long, tail long, inner array<long>")
     sums = staged(found, "separators")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    few = sums.select("file", "block", "ends", "head", "tail")
-    # tokens since the last separator = all tokens in blocks without one since then, and the tail of the block that has it
-    few = few.withColumns({"nth": F.coalesce(F.sum("ends").over(earlier), F.lit(0)), "plain": F.sum(F.when(F.col("ends") == 0, F.col("head")).otherwise(0)).over(so_far)})
-    mark = F.when(F.col("ends") > 0, F.col("tail") - F.col("plain"))
-    few = few.withColumn("mark", F.coalesce(F.last(mark, ignorenulls=True).over(earlier), F.lit(0)))
-    few = few.withColumn("carried", F.col("mark") + F.col("plain") - F.when(F.col("ends") == 0, F.col("head")).otherwise(0))
+    few = sums.select("file", "block", F.floor(F.col("block") / SPAN).cast("long").alias("span"), "ends", "head", "tail")
+    # within spans of blocks first, then over the spans of a file, so that no task holds all blocks of a large file
+    inside = _carried(few, ["file", "span"], "block")
+    spans = inside.groupBy("file", "span").agg(F.sum("ends").alias("ends"), F.max_by(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail")), "block").alias("tail"))
+    spans = _carried(spans.withColumn("head", F.col("tail")), ["file"], "span")
+    here, there = inside.alias("i"), spans.alias("s")
+    few = here.join(there, (F.col("i.file") == F.col("s.file")) & (F.col("i.span") == F.col("s.span"))).select(
+        "i.file", "i.block", "i.head", "i.ends", (F.col("i.nth") + F.col("s.nth")).alias("nth"), (F.col("i.carried") + F.when(F.col("i.seen"), 0).otherwise(F.col("s.carried"))).alias("carried")
+    )
     placed = sums.select("file", "block", "inner").join(few, ["file", "block"])
     closed = placed.where("ends > 0").select("file", F.posexplode(F.concat(F.array(F.col("carried") + F.col("head")), "inner")).alias("i", "n_tokens"), "nth")
     closed = closed.select("file", (F.col("nth") + F.col("i")).alias("nth"), "n_tokens")
-    last = few.groupBy("file").agg(F.sum("ends").alias("nth"), F.max_by(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail")), "block").alias("n_tokens"))
+    last = spans.groupBy("file").agg(F.sum("ends").alias("nth"), F.max_by(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail")), "span").alias("n_tokens"))
     return closed.union(last.where("n_tokens > 0"))
 
 
+def _carried(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows(*by, order, ends, head, tail) with what comes before each in its group: nth, the separators; carried, the tokens since the last of
+    them; seen, whether there is one. A row without a separator has all its tokens as its head and tail."""
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # tokens since the last separator = all tokens of rows without one since then, and the tail of the row that has it
+    plain = F.when(F.col("ends") == 0, F.col("head")).otherwise(0)
+    out = rows.withColumns({"nth": F.coalesce(F.sum("ends").over(earlier), F.lit(0)), "plain": F.sum(plain).over(so_far)})
+    mark = F.last(F.when(F.col("ends") > 0, F.col("tail") - F.col("plain")), ignorenulls=True).over(earlier)
+    out = out.withColumns({"carried": F.coalesce(mark, F.lit(0)) + F.col("plain") - plain, "seen": mark.isNotNull()})
+    return out.drop("plain")
+
+
 def token_counts(docs: DataFrame, ranks: str = RANKS, block: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) for each row of docs, counted in its packed form. Repeated rows are counted each; a null or empty text has 0."""
-    packed = staged(pack(docs, ranks, block, id_col, text_col), "packed")
-    counts = scan(packed.where("tokens is not null").select("file", "block", "tokens"))
-    order = packed.where("ids is not null").select("file", "first", F.posexplode("ids").alias("i", "doc_id"))
+    """(doc_id, n_tokens) for each row of docs, counted in flat token files in the shared folder. Repeated rows are counted each; a null or
+    empty text has 0 tokens, a text of any length is counted whole, and an empty table gives an empty table. Further columns are not read."""
+    flat = write_flat(docs, f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}", ranks, id_col, text_col)
+    counts = scan(read_blocks(flat.where("bytes is not null").select("file", "path", "bytes"), block))
+    order = flat.where("ids is not null").select("file", "first", F.posexplode("ids").alias("i", "doc_id"))
     order = order.select("file", (F.col("first") + F.col("i")).alias("nth"), "doc_id")
     return order.join(counts, ["file", "nth"]).select("doc_id", "n_tokens")

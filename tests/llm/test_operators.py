@@ -389,3 +389,35 @@ def test_mixed_takes_each_row_as_often_as_planned(spark, mixing_rows):
     found = Counter(r.doc_id for r in out.collect())
     want, _ = plain_mix(mixing_rows)
     assert found == Counter({i: c for (i, _, _), c in want.items() if c})
+
+
+@pytest.mark.parametrize("span", [2, 4096])
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_flat_token_files(spark, tmp_path, monkeypatch, span, block):
+    """Files without an index, cut anywhere, some documents over many blocks, some files without a last separator, one empty."""
+    monkeypatch.setattr(tokens, "SPAN", span)
+    r = random.Random(block)
+    want = {}
+    for n in range(5):
+        flat = [r.choice([1, 2, 3, 0xC450, 0x50C4, 0x5050]) for _ in range(90)] if n < 4 else []
+        flat = [1, *[7] * 40, 50256, *flat] if n == 2 else flat
+        (tmp_path / f"{n}.bin").write_bytes(np.array(flat, "<u2").tobytes())
+        parts = "".join("|" if x == 50256 else "." for x in flat).split("|")
+        want[f"{n}.bin"] = [len(p) for p in (parts if parts[-1] else parts[:-1])]
+    files = tokens.flat_files(spark, f"file://{tmp_path}")
+    found = {}
+    for x in tokens.scan(tokens.read_blocks(files, block)).orderBy("nth").collect():
+        found.setdefault(x.file.rsplit("/", 1)[1], []).append(x.n_tokens)
+    assert found == {k: v for k, v in want.items() if v}
+
+
+def test_token_files_are_flat(spark, docs, tmp_path):
+    flat = tokens.write_flat(docs, f"file://{tmp_path}/f").collect()
+    encode = tokens.encoder().encode_ordinary
+    texts = made_texts()
+    for path in {x.path for x in flat}:
+        ids = [i for x in sorted((x for x in flat if x.path == path and x.ids), key=lambda x: x.first) for i in x.ids]
+        with open(path.removeprefix("file://"), "rb") as f:
+            data = f.read()
+        assert data == b"".join(np.array([*encode(texts[i] or ""), 50256], "<u2").tobytes() for i in ids)
+        assert [x.bytes for x in flat if x.path == path and x.bytes is not None] == [len(data)]
