@@ -37,7 +37,7 @@ class Pieces:
     The model at hand is a byte-pair model: its scores are merge priorities, and the path of the largest sum is not its encoding. The
     forward state of a prefix is then its last piece, not its best sum: the encoding of a prefix ends in the one piece that the
     encoding of the rest accepts as its neighbour, which is when merging the two pieces' characters gives these two again. Like a best
-    sum it depends on the prefix alone, so words that share a prefix share its states. A model of the unigram kind takes best sums.
+    sum it depends on the prefix alone, so words that share a prefix share its states. For models of the unigram kind see UnigramPieces.
     """
 
     def __init__(self, path: str = MODEL) -> None:
@@ -191,30 +191,76 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(MARK, " ").removeprefix(" ")
 
 
+def best_paths(words: Iterable[str], scores: dict[str, float], unknown: float) -> Iterator[tuple[str, list[str]]]:
+    """Each distinct word with its pieces of the largest sum of scores, in sorted order.
+
+    Viterbi over the words' trie, depth first: the forward score of a prefix, the best sum of pieces that make it up, depends on the prefix alone,
+    so a word takes over those of all prefixes that it shares with the word before and goes on from there. A character without a piece counts as
+    unknown; of equal sums the one with the longer last piece is taken.
+    """
+    longest = max(map(len, scores), default=1)
+    path, forward, last = "", [0.0], [0]
+    for word in sorted(set(words)):
+        same = 0
+        for a, b in zip(path, word):
+            if a != b:
+                break
+            same += 1
+        del forward[same + 1 :], last[same + 1 :]
+        for end in range(same + 1, len(word) + 1):
+            best, size = -np.inf, 1
+            for n in range(min(longest, end), 0, -1):
+                piece = scores.get(word[end - n : end], unknown if n == 1 else None)
+                if piece is not None and forward[end - n] + piece > best:
+                    best, size = forward[end - n] + piece, n
+            forward.append(best)
+            last.append(size)
+        path = word
+        out, end = [], len(word)
+        while end:
+            out.append(word[end - last[end] : end])
+            end -= last[end]
+        yield word, out[::-1]
+
+
+class UnigramPieces(Pieces):
+    """A model's pieces with encodings of the largest sum of scores; all else as in Pieces. A character without a piece costs PENALTY more than
+    the least piece, as in the library."""
+
+    PENALTY = 10.0
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        unknown = min(self.scores.values(), default=0.0) - self.PENALTY
+        for word, parts in best_paths(words, self.scores, unknown):
+            yield word, b"".join(self.numbers.get(x) or self.spelled(x) for x in parts)
+
+
 @cache
-def pieces(path: str = MODEL) -> Pieces:
-    return Pieces(path)
+def pieces(path: str = MODEL, kind: str = "bpe") -> Pieces:
+    return {"bpe": Pieces, "unigram": UnigramPieces}[kind](path)
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids: array<int>, n_tokens, lossless: whether decoding gives the text again) for each row of docs.
+def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe") -> DataFrame:
+    """(doc_id, ids: array<int>, n_tokens, lossless: whether decoding gives the text again) for each row of docs. kind is that of the model:
+    bpe, whose scores are merge priorities, or unigram, whose scores are summed.
 
     A null text has null ids, no tokens and is lossless; an empty one has empty ids. A text that itself holds marks comes back with
-    spaces in their place and is not lossless. Only the id and the text are read.
+    spaces in their place and is not lossless. Texts of any length are encoded whole; repeated rows give repeated results; an empty table
+    gives an empty table. Only the id and the text are read.
     """
     bounded_batches(docs.sparkSession, 1000)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
+    id_kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pieces(model)
+        p = pieces(model, kind)
         for pdf in batches:
             texts = list(pdf["text"])
             ids = p.encode(texts)
             same = [t is None or p.decode(x.tolist()) == t for t, x in zip(texts, ids)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [None if t is None else x for t, x in zip(texts, ids)], "n_tokens": [len(x) for x in ids], "lossless": same})
 
-    return own.mapInPandas(run, f"doc_id {kind}, ids array<int>, n_tokens long, lossless boolean")
+    return own.mapInPandas(run, f"doc_id {id_kind}, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
