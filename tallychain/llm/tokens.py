@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -73,24 +73,44 @@ def flat_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "path", F.col("length").alias("bytes"))
 
 
-def read_blocks(files: DataFrame, block: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
-    """files(file, path, bytes) -> (file, block, tokens): each task reads its byte ranges of files of any size, cut anywhere between tokens."""
+def _ranges(files: DataFrame, block: int, dtype: str) -> tuple[DataFrame, Callable]:
+    """The byte ranges of files, dealt over the tasks, and what reads a batch of them: it gives each range's file, number and bytes."""
     step = block * np.dtype(dtype).itemsize
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("bytes") / step) - 1))).alias("block")
-    kind = files.schema["file"].dataType.simpleString()
     tasks = files.sparkSession.sparkContext.defaultParallelism
-    ranges = files.where("bytes > 0").select("file", "path", cut).repartition(4 * tasks, "path", "block")
+
+    def read(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for path, rows in pdf.groupby("path"):
+            system, place = _opened(path)
+            with system.open_input_file(place) as f:
+                for file, n in zip(rows["file"], rows["block"]):
+                    f.seek(int(n) * step)
+                    yield file, n, f.read(step)
+
+    return files.where("bytes > 0").select("file", "path", cut).repartition(4 * tasks, "path", "block"), read
+
+
+def read_blocks(files: DataFrame, block: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
+    """files(file, path, bytes) -> (file, block, tokens): each task reads its byte ranges of files of any size, cut anywhere between tokens."""
+    ranges, read = _ranges(files, block, dtype)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, rows in pdf.groupby("path"):
-                system, place = _opened(path)
-                with system.open_input_file(place) as f:
-                    for file, n in zip(rows["file"], rows["block"]):
-                        f.seek(int(n) * step)
-                        yield pd.DataFrame([(file, n, f.read(step))], columns=["file", "block", "tokens"])
+            for row in read(pdf):
+                yield pd.DataFrame([row], columns=["file", "block", "tokens"])
+
+    return ranges.mapInPandas(run, f"file {files.schema['file'].dataType.simpleString()}, block long, tokens binary")
+
+
+FOUND = "block long, ends long, head long, tail long, inner array<long>"
 
-    return ranges.mapInPandas(run, f"file {kind}, block long, tokens binary")
+
+def _found(file, block: int, data: bytes, separator: int, dtype: str) -> tuple:
+    """A block's separators: how many, the tokens before the first and after the last, and the lengths between them."""
+    x = np.frombuffer(data, dtype)
+    at = np.flatnonzero(x == separator)
+    head, tail = (int(at[0]), len(x) - 1 - int(at[-1])) if len(at) else (len(x), len(x))
+    return file, block, len(at), head, tail, (np.diff(at) - 1).tolist()
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
@@ -100,31 +120,40 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> D
     them. Running sums over these few numbers per block then say which document a block begins in and how many of its tokens came before, so
     that documents over a cut, or over many blocks, are whole. Tokens after a file's last separator are a document of their own.
     """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [_found(*row, separator, dtype) for row in zip(pdf["file"], pdf["block"], pdf["tokens"])]
+            yield pd.DataFrame(rows, columns=["file", "block", "ends", "head", "tail", "inner"])
+
     kind = blocks.schema["file"].dataType.simpleString()
+    return _stitched(blocks.select("file", "block", "tokens").mapInPandas(find, f"file {kind}, {FOUND}"))
+
+
+def scan_files(files: DataFrame, block: int = BLOCK_TOKENS, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
+    """scan() of files(file, path, bytes), each block searched by the task that reads it."""
+    ranges, read = _ranges(files, block, dtype)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for file, block, tokens in zip(pdf["file"], pdf["block"], pdf["tokens"]):
-                x = np.frombuffer(tokens, dtype)
-                at = np.flatnonzero(x == separator)
-                head, tail = (int(at[0]), len(x) - 1 - int(at[-1])) if len(at) else (len(x), len(x))
-                rows.append((file, block, len(at), head, tail, (np.diff(at) - 1).tolist()))
+            rows = [_found(*row, separator, dtype) for row in read(pdf)]
             yield pd.DataFrame(rows, columns=["file", "block", "ends", "head", "tail", "inner"])
 
-    found = blocks.select("file", "block", "tokens").mapInPandas(find, f"file {kind}, block long, ends long, head long, tail long, inner array<long>")
-    sums = staged(found, "separators")
-    few = sums.select("file", "block", F.floor(F.col("block") / SPAN).cast("long").alias("span"), "ends", "head", "tail")
+    return _stitched(ranges.mapInPandas(find, f"file {files.schema['file'].dataType.simpleString()}, {FOUND}"))
+
+
+def _stitched(found: DataFrame) -> DataFrame:
+    """What was found in each block -> (file, nth, n_tokens) over the blocks' cuts."""
+    sums = staged(found, "separators").withColumn("span", F.floor(F.col("block") / SPAN).cast("long"))
     # within spans of blocks first, then over the spans of a file, so that no task holds all blocks of a large file
-    inside = _carried(few, ["file", "span"], "block")
-    spans = inside.groupBy("file", "span").agg(F.sum("ends").alias("ends"), F.max_by(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail")), "block").alias("tail"))
-    spans = _carried(spans.withColumn("head", F.col("tail")), ["file"], "span")
+    inside = _carried(sums, ["file", "span"], "block")
+    spans = _carried(sums.drop("inner"), ["file", "span"], "block").groupBy("file", "span")
+    after = F.max_by(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail")), "block")
+    spans = _carried(spans.agg(F.sum("ends").alias("ends"), after.alias("tail")).withColumn("head", F.col("tail")), ["file"], "span")
     here, there = inside.alias("i"), spans.alias("s")
-    few = here.join(there, (F.col("i.file") == F.col("s.file")) & (F.col("i.span") == F.col("s.span"))).select(
-        "i.file", "i.block", "i.head", "i.ends", (F.col("i.nth") + F.col("s.nth")).alias("nth"), (F.col("i.carried") + F.when(F.col("i.seen"), 0).otherwise(F.col("s.carried"))).alias("carried")
-    )
-    placed = sums.select("file", "block", "inner").join(few, ["file", "block"])
-    closed = placed.where("ends > 0").select("file", F.posexplode(F.concat(F.array(F.col("carried") + F.col("head")), "inner")).alias("i", "n_tokens"), "nth")
+    carried = F.col("i.carried") + F.when(F.col("i.seen"), 0).otherwise(F.col("s.carried"))
+    few = here.join(there, (F.col("i.file") == F.col("s.file")) & (F.col("i.span") == F.col("s.span"))).where("i.ends > 0")
+    closed = few.select("i.file", (F.col("i.nth") + F.col("s.nth")).alias("nth"), F.posexplode(F.concat(F.array(carried + F.col("i.head")), "i.inner")).alias("i", "n_tokens"))
     closed = closed.select("file", (F.col("nth") + F.col("i")).alias("nth"), "n_tokens")
     last = spans.groupBy("file").agg(F.sum("ends").alias("nth"), F.max_by(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail")), "span").alias("n_tokens"))
     return closed.union(last.where("n_tokens > 0"))
@@ -147,7 +176,7 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, block: int = BLOCK_TOKENS,
     """(doc_id, n_tokens) for each row of docs, counted in flat token files in the shared folder. Repeated rows are counted each; a null or
     empty text has 0 tokens, a text of any length is counted whole, and an empty table gives an empty table. Further columns are not read."""
     flat = write_flat(docs, f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}", ranks, id_col, text_col)
-    counts = scan(read_blocks(flat.where("bytes is not null").select("file", "path", "bytes"), block))
+    counts = scan_files(flat.where("bytes is not null").select("file", "path", "bytes"), block)
     order = flat.where("ids is not null").select("file", "first", F.posexplode("ids").alias("i", "doc_id"))
     order = order.select("file", (F.col("first") + F.col("i")).alias("nth"), "doc_id")
     return order.join(counts, ["file", "nth"]).select("doc_id", "n_tokens")

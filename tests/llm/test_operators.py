@@ -405,10 +405,11 @@ def test_flat_token_files(spark, tmp_path, monkeypatch, span, block):
         parts = "".join("|" if x == 50256 else "." for x in flat).split("|")
         want[f"{n}.bin"] = [len(p) for p in (parts if parts[-1] else parts[:-1])]
     files = tokens.flat_files(spark, f"file://{tmp_path}")
-    found = {}
-    for x in tokens.scan(tokens.read_blocks(files, block)).orderBy("nth").collect():
-        found.setdefault(x.file.rsplit("/", 1)[1], []).append(x.n_tokens)
-    assert found == {k: v for k, v in want.items() if v}
+    for how in (tokens.scan(tokens.read_blocks(files, block)), tokens.scan_files(files, block)):
+        found = {}
+        for x in how.orderBy("nth").collect():
+            found.setdefault(x.file.rsplit("/", 1)[1], []).append(x.n_tokens)
+        assert found == {k: v for k, v in want.items() if v}
 
 
 def test_token_files_are_flat(spark, docs, tmp_path):
