@@ -78,13 +78,39 @@ def debug_text(value: dict) -> str:
     return only(value)
 
 
+def reader_number(x: int | float) -> str:
+    """A number as the second verifier prints it: whole numbers of 64 bits as they are, others as number_text has them, but minus zero."""
+    if isinstance(x, int) and -(1 << 63) <= x < 1 << 63:
+        return str(x)
+    return "-0" if x == 0 and str(x).startswith("-") else number_text(x)
+
+
+#: Characters that the second verifier's encoder escapes beside those that JSON must escape.
+READER_ESCAPES = {ord("<"): "\\u003c", ord(">"): "\\u003e", ord("&"): "\\u0026", 0x2028: "\\u2028", 0x2029: "\\u2029"}
+
+
+def reader_text(value) -> str:
+    """JSON text as the second verifier encodes it: keys in order of their UTF-8 bytes, no keys left out, and READER_ESCAPES."""
+    if isinstance(value, str):
+        return _string(value).translate(READER_ESCAPES)
+    if isinstance(value, list):
+        return "[" + ",".join(map(reader_text, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{reader_text(k)}:{reader_text(value[k])}" for k in sorted(value, key=str.encode)) + "}"
+    return canonical(value) if value is None or isinstance(value, bool) else reader_number(value)
+
+
 def _each(texts: pd.Series, f) -> pd.Series:
-    """f of each text's JSON value; null for a null text and for what is not JSON."""
+    """f of each text's JSON value; null for a null text, for what is not JSON, for text that UTF-8 cannot hold (half of a surrogate pair) and
+    for values nested deeper than Python's stack."""
 
     def one(t: str | None) -> str | None:
         try:
-            return None if t is None else f(json.loads(t))
-        except ValueError:
+            out = None if t is None else f(json.loads(t))
+            if out is not None:
+                out.encode()
+            return out
+        except (ValueError, RecursionError):
             return None
 
     return pd.Series([one(t) for t in texts], dtype=object)
@@ -110,6 +136,26 @@ def clean_json(text: Column, mode: str = "writer") -> Column:
     return run(text)
 
 
+def reader_json(text: Column) -> Column:
+    """What the second verifier hashes of a JSON column: cleaned by the reader's rules and encoded by reader_text; null for what is no object."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return _each(s, lambda v: reader_text(clean(v, "reader")) if isinstance(v, dict) else None)
+
+    return run(text)
+
+
+def payload_json(text: Column) -> Column:
+    """What a block stores of a request's JSON: cleaned by the writer's rules and canonical, without the keys that hashes leave out."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return _each(s, lambda v: canonical(clean(v), EXCLUDED))
+
+    return run(text)
+
+
 def debug_json(text: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

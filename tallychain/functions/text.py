@@ -31,3 +31,8 @@ def pad_root(text: Column) -> Column:
 
 def type_label(type_: Column) -> Column:
     return F.when(type_ == "model_registration", "Registration").otherwise("Inference")
+
+
+def has_id(text: Column) -> Column:
+    """Whether a text holds more than white space, as a searched id must."""
+    return F.coalesce(F.trim(text) != "", F.lit(False))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.functions.hashing import keccak256, keccak256_many
+from tallychain.functions.hashing import keccak256_many
 from tallychain.operators import merkle
 
 
@@ -36,9 +36,44 @@ def by_address(events: DataFrame, address: str) -> DataFrame:
 
 
 def by_organization(events: DataFrame, organization_id: str) -> DataFrame:
-    """Events whose indexed organisation is the Keccak-256 of organization_id; (…, organization_hash)."""
-    hashed = events.withColumn("organization_hash", F.lower(F.hex(keccak256(F.col("organization_id").cast("binary")))))
-    return hashed.where(F.col("organization_hash") == keccak256_many([organization_id.encode()])[0].hex())
+    """Events of an organisation, (…, organization_hash): the Keccak-256 that the contract's index holds of its id. Equal ids have equal hashes, so the
+    filter is on the id and only the asked one is hashed."""
+    return events.where(F.col("organization_id") == organization_id).withColumn("organization_hash", F.lit(keccak256_many([organization_id.encode()])[0].hex()))
+
+
+def from_args(logs: DataFrame, args: str = "args") -> DataFrame:
+    """logs with an array of positional texts (address, root, hash of the organisation's id, its name, domain, seconds) -> the named record; nulls
+    where there are no args or not all six."""
+    names = ("technical_address", "merkle_root", "organization_id", "organization_name", "domain")
+    whole = F.size(args) >= 6
+    fields = [F.when(whole, F.col(args)[n]).alias(c) for n, c in enumerate(names)]
+    return logs.select(*[c for c in logs.columns if c != args], *fields, F.when(whole, F.col(args)[5].try_cast("bigint")).alias("ts"))
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """An exported event log, JSON lines with args: an array of texts or nothing."""
+    return from_args(spark.read.schema("event_no long, args array<string>").json(path))
+
+
+def new_anchor(blocks: DataFrame, anchors: DataFrame, leaves: DataFrame, tx_hash: str, ts: int, step: int = 50, chain_id: int = 11155111) -> DataFrame:
+    """The anchor row to append where one is due, else no row: the sorted-pair root over all blocks, pending. The transaction is the caller's."""
+    due = decide(blocks, anchors, step).where("due").select("last_block_index")
+    return due.join(F.broadcast(merkle.root(leaves, merkle.SORTED))).select(  # one row with one row
+        F.concat(F.lit("0x"), "root").alias("merkle_root"), "last_block_index", F.lit(tx_hash).alias("tx_hash"), F.lit(None).cast("long").alias("block_number"), F.lit(chain_id).cast("long").alias("chain_id"), F.lit(ts).cast("long").alias("anchored_at"), F.lit("pending").alias("status")
+    )
+
+
+def manual_anchor(leaves: DataFrame, tx_hash: str, ts: int, block_number: int | None = None, chain_id: int = 11155111) -> DataFrame:
+    """An anchor made by hand: due or not, without the index of its last block and without a status."""
+    return merkle.root(leaves, merkle.SORTED).select(
+        F.concat(F.lit("0x"), "root").alias("merkle_root"), F.lit(None).cast("long").alias("last_block_index"), F.lit(tx_hash).alias("tx_hash"), F.lit(block_number).cast("long").alias("block_number"), F.lit(chain_id).cast("long").alias("chain_id"), F.lit(ts).cast("long").alias("anchored_at"), F.lit(None).cast("string").alias("status")
+    )
+
+
+def anchored(anchors: DataFrame, address: str, organization_id: str, name: str, domain: str) -> DataFrame:
+    """The contract event of each anchor, as the log holds it: the organisation's id as its Keccak-256."""
+    digest = "0x" + keccak256_many([organization_id.encode()])[0].hex()
+    return anchors.select(F.lit(address).alias("technical_address"), "merkle_root", F.lit(digest).alias("organization_id"), F.lit(name).alias("organization_name"), F.lit(domain).alias("domain"), F.col("anchored_at").alias("ts"))
 
 
 def check_roots(leaves: DataFrame, anchors: DataFrame, tree: merkle.Tree = merkle.POSITIONAL) -> DataFrame:

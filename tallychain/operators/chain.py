@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.functions.hashing import block_hash, block_text
+from tallychain.functions.canonical import reader_json
+from tallychain.functions.hashing import block_hash
 from tallychain.functions.text import short
 from tallychain.operators.numbering import with_previous
 
@@ -26,45 +27,59 @@ def genesis(spark: SparkSession, ts: int, data: str = GENESIS_DATA) -> DataFrame
 def fold(rows: DataFrame, previous: str = ROOT, keys: tuple[str, ...] = ()) -> DataFrame:
     """rows(*keys, block_index, ts, data) -> the same with previous_hash and hash, each block's hash covering its predecessor's.
 
-    What is hashed of a row is put together in parallel; the recurrence itself is sequential, so one task streams a chain in
-    order and keeps a single hash. With keys there is one chain for each, and chains run in parallel, many to a task, none held in memory.
+    The recurrence is sequential, so one task streams a chain in order and keeps a single hash; only what is hashed goes through it, as Arrow
+    batches. With keys there is one chain for each, and chains run in parallel, many to a task, none held in memory; a null key is a key
+    of its own.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    wide = rows.select(*keys, "block_index", "ts", "data", block_text(F.col("block_index"), F.col("ts"), F.col("data")).alias("__text"))
+    wide = rows.select(*keys, "block_index", "ts", "data")
     dealt = (wide.repartition(*keys) if keys else wide.repartition(1)).sortWithinPartitions(*keys, "block_index")
+    blank = lambda x: "" if x is None else x
 
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, last = None, previous
-        for pdf in batches:
+        for batch in batches:
             before, after = [], []
-            owners = zip(*[pdf[k] for k in keys]) if keys else [()] * len(pdf)
-            for own, text in zip(owners, pdf["__text"]):
+            columns = [batch.column(n).to_pylist() for n in range(batch.num_columns)]
+            owners = zip(*columns[: len(keys)]) if keys else [()] * batch.num_rows
+            for own, i, ts, data in zip(owners, *columns[len(keys) :]):
                 if own != owner:
                     owner, last = own, previous
                 before.append(last)
-                last = hashlib.sha256((text + last).encode()).hexdigest()
+                last = hashlib.sha256(f"{blank(i)}|{blank(ts)}|{blank(data)}|{last}".encode()).hexdigest()
                 after.append(last)
-            yield pdf.drop(columns="__text").assign(previous_hash=before, hash=after)
+            hashes = [pa.array(x, pa.string()) for x in (before, after)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *hashes], [*batch.schema.names, "previous_hash", "hash"])
 
-    return dealt.mapInPandas(carry, "".join(f"{k} {kinds[k]}, " for k in keys) + BLOCKS)
+    return dealt.mapInArrow(carry, "".join(f"{k} {kinds[k]}, " for k in keys) + BLOCKS)
 
 
-def append(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """New blocks for rows(ord, ts, data) after the tip of blocks; not written. Indices go on from the tip's, in order of ord.
+def append(blocks: DataFrame, rows: DataFrame, genesis_ts: int | None = None) -> DataFrame:
+    """New blocks for rows(ord, ts, data) after the tip of blocks; not written. Indices go on from the tip's, in order of ord. data is stored as it
+    is; see writes.prepared for what makes a request's JSON a payload.
 
-    With an empty chain the first row gets index 0, so put genesis() before it.
+    An empty chain first gets its genesis block if genesis_ts is given, which is then among the new blocks; else its first row gets index 0.
     """
     from tallychain.operators.numbering import numbered
 
     tip = blocks.agg(F.max(F.struct("block_index", "hash")).alias("t")).select("t.*").first()
     index, last = (tip[0] + 1, tip[1]) if tip and tip[0] is not None else (0, ROOT)
-    return fold(numbered(rows, "ord", "block_index", index).select("block_index", "ts", "data"), last)
+    first = index == 0 and genesis_ts is not None
+    new = numbered(rows, "ord", "block_index", index + first).select("block_index", "ts", "data")
+    return fold(genesis(rows.sparkSession, genesis_ts).unionByName(new) if first else new, last)
 
 
-def checked(blocks: DataFrame) -> DataFrame:
-    """blocks with expected_hash (recomputed), before (the hash of the block before by position) and whether either is off."""
+def has_genesis(blocks: DataFrame) -> DataFrame:
+    """One row: whether there is a block 0."""
+    return blocks.agg(F.coalesce(F.bool_or(F.col("block_index") == 0), F.lit(False)).alias("has_genesis"))
+
+
+def checked(blocks: DataFrame, mode: str = "writer") -> DataFrame:
+    """blocks with expected_hash (recomputed), before (the hash of the block before by position) and whether either is off. In mode `recleaned`
+    the payload is cleaned and encoded anew before it is hashed, as the second verifier does; else its stored text is hashed."""
     out = with_previous(blocks, "block_index", "hash", "before", "hash")
-    out = out.withColumn("expected_hash", block_hash(F.col("block_index"), F.col("ts"), F.col("data"), F.col("previous_hash")))
+    data = reader_json(F.col("data")) if mode == "recleaned" else F.col("data")
+    out = out.withColumn("expected_hash", block_hash(F.col("block_index"), F.col("ts"), data, F.col("previous_hash")))
     bad = F.coalesce(F.col("hash") != F.col("expected_hash"), F.lit(True))
     broken = F.col("before").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("before"))
     return out.withColumns({"bad_hash": bad, "broken_link": broken})
@@ -74,9 +89,10 @@ def errors(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     """(block_index, kind, message), kind 1 for a wrong hash and 2 for a broken link.
 
     The writer's rules check every block and report both kinds; the reader's rules take the first block as right, and a broken link hides a wrong hash.
+    Mode `recleaned` has the reader's rules on payloads cleaned anew.
     """
-    c = checked(blocks)
-    if mode == "reader":
+    c = checked(blocks, mode)
+    if mode != "writer":
         c = c.where(F.col("before").isNotNull()).withColumn("bad_hash", F.col("bad_hash") & ~F.col("broken_link"))
     label = F.concat(F.lit("Block "), F.col("block_index").cast("string"))
     wrong = F.struct(F.lit(1).alias("kind"), F.concat(label, F.lit(": Hash mismatch")).alias("message"))
@@ -88,8 +104,8 @@ def errors(blocks: DataFrame, mode: str = "writer") -> DataFrame:
 
 def verify(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     """One row: total, bad_hash, broken_links, invalid_blocks, is_valid. An empty chain is valid."""
-    c = checked(blocks)
-    if mode == "reader":
+    c = checked(blocks, mode)
+    if mode != "writer":
         first = F.col("before").isNull()
         c = c.withColumn("bad_hash", F.col("bad_hash") & ~F.col("broken_link") & ~first)
     sums = c.agg(F.count("*").alias("total"), F.count_if("bad_hash").alias("bad_hash"), F.count_if("broken_link").alias("broken_links"), F.count_if(F.col("bad_hash") | F.col("broken_link")).alias("invalid_blocks"))

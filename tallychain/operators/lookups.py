@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallychain.functions.canonical import debug_json
+from tallychain.functions.canonical import debug_json, text_to_long
 from tallychain.functions.text import iso
 from tallychain.operators import chain
 
@@ -49,6 +49,30 @@ def summary(promoted: DataFrame, model_id: str) -> DataFrame:
     return own.join(F.broadcast(v)).select(F.lit(model_id).alias("model_id"), "*")  # one row with one row
 
 
+def report(promoted: DataFrame, model_ids: DataFrame) -> DataFrame:
+    """One row for each distinct id of model_ids(model_id): total_blocks, chain_valid, verification_errors (messages in order) and history (structs in
+    order of the index). The chain's errors are the same in every row; a sound chain has none. A model's blocks make one row, so ask for as many
+    models as are to be read, not for a model with more blocks than a row holds."""
+    fields = ["block_index", "timestamp", "timestamp_unix", "type", "version", "input_hash", "output_hash", "params", "metadata", "block_hash", "previous_hash"]
+    asked = model_ids.select("model_id").distinct()
+    own = history(promoted).join(asked, "model_id", "left_semi").groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("history"))
+    found = chain.errors(promoted).agg(F.transform(F.sort_array(F.collect_list(F.struct("block_index", "kind", "message"))), lambda e: e["message"]).alias("verification_errors"))
+    rows = asked.join(own, "model_id", "left").join(found)  # one row of errors
+    return rows.select(
+        "model_id", F.when(F.col("history").isNull(), 0).otherwise(F.size("history")).cast("long").alias("total_blocks"), (F.size("verification_errors") == 0).alias("chain_valid"), "verification_errors", F.coalesce("history", F.array().cast(own.schema["history"].dataType)).alias("history")
+    )
+
+
+def typed_blocks(documents: DataFrame) -> DataFrame:
+    """documents(index, timestamp, data, previousHash, hash: texts) -> blocks; an index or a time that is no whole number is 0, a missing text is ''."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return documents.select(text_to_long(F.col("index")).alias("block_index"), text_to_long(F.col("timestamp")).alias("ts"), text("data").alias("data"), text("previousHash").alias("previous_hash"), text("hash").alias("hash"))
+
+
+def badge(valid: Column) -> Column:
+    return F.when(valid, "Passing").otherwise("Failing")
+
+
 def last_anchor(anchors: DataFrame, explorer: str = "https://explorer.invalid/tx/") -> DataFrame:
     top = anchors.orderBy(F.desc_nulls_last("last_block_index"), "tx_hash").limit(1)
     return top.withColumn("explorer_url", F.when(F.col("tx_hash") != "", F.concat(F.lit(explorer), "tx_hash")))

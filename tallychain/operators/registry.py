@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallychain.session import staged
+
 
 def accept_inferences(requests: DataFrame, models: DataFrame) -> DataFrame:
     return requests.join(models.select("model_id"), "model_id", "left_semi")
@@ -15,21 +17,43 @@ def reject_inferences(requests: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def registrations(requests: DataFrame, models: DataFrame, order: str) -> DataFrame:
-    """requests(name, version, model_id, order) with a reason: null if accepted, else what is taken already. In a batch the first wins.
+    """requests(name, version, model_id, order) with a reason: null if accepted, else what is taken already. The outcome is that of taking the
+    requests one by one: a refused one takes nothing.
 
-    Both the name and the id with a version must be new, so that no block is appended for a row that the registry would refuse.
+    Both the name and the id with a version must be new, so that no block is appended for a row that the registry would refuse. Requests that
+    clash with the registry go first; of the others, those that come first for their name and for their id are accepted, which refuses all
+    others of these, and what is left is looked at again.
     """
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
     named = models.select("name", "version", F.lit(True).alias("named")).distinct()
     known = models.select("model_id", "version", F.lit(True).alias("known")).distinct()
     rows = requests.join(named, ["name", "version"], "left").join(known, ["model_id", "version"], "left")
-    rows = rows.withColumns({"n1": first("name", "version"), "n2": first("model_id", "version")})
-    reason = F.when(F.col("named") | (F.col("n1") > 1), "name and version exist").when(F.col("known") | (F.col("n2") > 1), "model and version exist")
-    return rows.withColumn("reason", reason).drop("named", "known", "n1", "n2")
+    taken = F.when(F.col("named"), "name and version exist").when(F.col("known"), "model and version exist")
+    rows = staged(rows.withColumns({"reason": taken, "open": taken.isNull()}).drop("named", "known"), "registrations")
+    place = {}
+    for n, by in (("n1", "name"), ("n2", "model_id")):
+        w = Window.partitionBy("open", by, "version")
+        place[n] = F.row_number().over(w.orderBy(order))
+    while True:
+        rows = rows.withColumns(place)
+        wins = F.col("open") & (F.col("n1") == 1) & (F.col("n2") == 1)
+        won = lambda by: F.max(wins).over(Window.partitionBy("open", by, "version"))
+        rows = rows.withColumns({"wins": wins, "w1": won("name"), "w2": won("model_id")})
+        reason = F.when(F.col("open") & ~F.col("wins") & F.col("w1"), "name and version exist").when(F.col("open") & ~F.col("wins") & F.col("w2"), "model and version exist")
+        left = F.col("open") & ~F.col("wins") & ~F.col("w1") & ~F.col("w2")
+        rows = staged(rows.withColumns({"reason": F.coalesce("reason", reason), "left": left}).select(*requests.columns, "reason", F.col("left").alias("open")), "registrations")
+        if rows.where("open").isEmpty():
+            return rows.drop("open")
+
+
+def create(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """models with rows added whose (model_id, version) and (name, version) it does not have yet."""
+    new = rows.join(models.select("model_id", "version"), ["model_id", "version"], "left_anti").join(models.select("name", "version"), ["name", "version"], "left_anti")
+    return models.unionByName(new.select(*models.columns))
 
 
 def update(models: DataFrame, changes: DataFrame) -> DataFrame:
-    """models with name replaced from changes(model_id, version, new_name)."""
+    """models with name replaced from changes(model_id, version, new_name). Of changes that repeat a key the least name counts."""
+    changes = changes.groupBy("model_id", "version").agg(F.min("new_name").alias("new_name"))
     return models.join(changes, ["model_id", "version"], "left").withColumn("name", F.coalesce("new_name", "name")).select(*models.columns)
 
 

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from tallychain.functions.canonical import clean_json, jcs
 from tallychain.functions.hashing import keccak256, unhex_strict
 from tallychain.functions.text import per, type_label
-from tallychain.operators import anchors, audit, chain, lookups, merkle, registry
+from tallychain.operators import anchors, audit, chain, lookups, merkle, registry, writes
 from tallychain.operators.numbering import numbered
 from tallychain.plans.sql import ORACLE
+from tallychain.session import shared_path
 from tallychain.sources import tables as t
 
 MODEL = "m-8"
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return t.promoted(t.ledger(spark, d))
+def _own(blocks: DataFrame) -> DataFrame:
+    return blocks.select("block_index", "ts", "data", "previous_hash", "hash")
 
 
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
-    return numbered(t.ledger(spark, d).select("block_index", "hash"), "block_index", "pos", 0, "hash").select("pos", unhex_strict(F.col("hash")).alias("leaf"))
+    return leaves_of(t.stored(spark, d))
+
+
+def leaves_of(blocks: DataFrame) -> DataFrame:
+    """(pos, leaf) of a chain's blocks, in order."""
+    return numbered(blocks.select("block_index", "hash"), "block_index", "pos", 0, "hash").select("pos", unhex_strict(F.col("hash")).alias("leaf"))
 
 
 def _inferences(spark: SparkSession, d: str) -> DataFrame:
@@ -37,19 +43,19 @@ def ledger_head(s, d):
 
 
 def verify_chain(s, d):
-    return chain.verify(t.ledger(s, d))
+    return chain.verify(t.stored(s, d))
 
 
 def verify_tampered(s, d):
-    return chain.verify(t.tampered(t.ledger(s, d)))
+    return chain.verify(t.tampered(t.stored(s, d)))
 
 
 def verify_tampered_reader(s, d):
-    return chain.verify(t.tampered(t.ledger(s, d)), "reader")
+    return chain.verify(t.tampered(t.stored(s, d)), "reader")
 
 
 def verify_errors(s, d):
-    return chain.errors(t.tampered(t.ledger(s, d)))
+    return chain.errors(t.tampered(t.stored(s, d)))
 
 
 def chain_gaps(s, d):
@@ -57,13 +63,13 @@ def chain_gaps(s, d):
 
 
 def block_by_index(s, d):
-    return lookups.by_index(t.ledger(s, d), 42)
+    return _own(lookups.by_index(t.stored(s, d), 42))
 
 
 def block_by_hash(s, d):
-    blocks = t.ledger(s, d)
-    wanted = lookups.by_index(blocks, 42).select("hash")
-    return blocks.join(wanted, "hash", "left_semi").select(blocks.columns)
+    blocks = t.stored(s, d)
+    wanted = lookups.by_index(blocks, 42).select("hash").first()
+    return _own(lookups.by_hash(blocks, wanted.hash if wanted else ""))
 
 
 def blocks_page(s, d):
@@ -75,19 +81,19 @@ def blocks_page_unlimited(s, d):
 
 
 def provenance_history(s, d):
-    return lookups.history(_blocks(s, d), MODEL)
+    return lookups.history(t.stored(s, d), MODEL)
 
 
 def provenance_summary(s, d):
-    return lookups.summary(_blocks(s, d), MODEL)
+    return lookups.summary(t.stored(s, d), MODEL)
 
 
 def chain_stats(s, d):
-    return lookups.stats(_blocks(s, d), t.anchors(s, d))
+    return lookups.stats(t.stored(s, d), t.anchors(s, d))
 
 
 def chain_height(s, d):
-    return t.requests(s, d).agg(F.count("*").alias("height"))
+    return t.ledger(s, d).agg((F.count("*") - 1).alias("height"))
 
 
 def model_count(s, d):
@@ -98,6 +104,11 @@ def models_recent(s, d):
     return lookups.recent_models(t.models(s, d)).limit(10)
 
 
+def models_recent_all(s, d):
+    """Every model, newest first."""
+    return lookups.recent_models(t.models(s, d))
+
+
 def models_page(s, d):
     return lookups.page(t.models(s, d), ["model_id", "version"], 10, 5)
 
@@ -120,7 +131,7 @@ def events_per_model(s, d):
 
 
 def blocks_per_model(s, d):
-    return lookups.per_model(_blocks(s, d))
+    return lookups.per_model(t.stored(s, d))
 
 
 def latest_block(s, d):
@@ -155,7 +166,9 @@ def anchor_prefix_roots(s, d):
 
 def anchor_proofs(s, d):
     """Every anchor, with its prefix's true root except for one in t.WRONG_ROOT, against the roots of the leaves."""
-    return anchors.check_roots(_leaves(s, d), t.rooted_anchors(s, d, anchor_prefix_roots(s, d)).select("last_block_index", "merkle_root"))
+    leaves = _leaves(s, d)
+    true = merkle.prefix_roots(leaves, t.anchors(s, d).select((F.col("last_block_index") + 1).alias("length")))
+    return anchors.check_roots(leaves, t.rooted_anchors(s, d, true).select("last_block_index", "merkle_root"))
 
 
 def inclusion_proofs(s, d):
@@ -167,7 +180,7 @@ def inclusion_proofs(s, d):
 
 
 def anchor_decision(s, d):
-    return anchors.decide(t.requests(s, d), t.anchors(s, d), 20)
+    return anchors.decide(t.stored(s, d), t.anchors(s, d), 20)
 
 
 def _text(rows: DataFrame, column: str) -> DataFrame:
@@ -193,8 +206,8 @@ def contract_events(s, d):
 
 def events_by_address(s, d):
     e = t.anchor_events(s, d)
-    address = e.where("event_no = 7").select(F.upper("technical_address").alias("a"))
-    return e.join(address, F.lower("technical_address") == F.lower("a"), "left_semi")
+    asked = e.where("event_no = 7").select("technical_address").first()
+    return anchors.by_address(e, (asked.technical_address if asked else "").upper())
 
 
 def events_by_org(s, d):
@@ -226,7 +239,7 @@ def models_delete(s, d):
 
 
 def model_provenance_join(s, d):
-    b = _blocks(s, d).select("model_id", "block_index")
+    b = t.stored(s, d).select("model_id", "block_index")
     return t.models(s, d).join(b, "model_id", "left").groupBy("model_id", "version").agg(F.count("block_index").alias("blocks"))
 
 
@@ -282,6 +295,76 @@ def keccak_documents(s, d):
     return t.table(s, d, "documents").select("doc_id", F.lower(F.hex(keccak256(F.col("text").cast("binary")))).alias("digest"))
 
 
+NOTE = '"note":"a \\"quoted\\" <word>","x":["",null,1],"params":{"depth":null,"tags":[]}'
+
+
+def _told(written) -> DataFrame:
+    """Acknowledgements with the block's fields beside each other; a nullable index is text."""
+    return written.acks.select("*", F.col("block.index").cast("string").alias("block_index"), F.col("block.hash").alias("block_hash")).drop("block")
+
+
+def register_models(s, d):
+    """Every registration as a request on an empty chain, whose first versions are registered already; payloads hold quotes and empty parts."""
+    r = t.models(s, d).withColumnRenamed("created_at", "ts")
+    asked = r.join(t.requests(s, d).where("type = 'model_registration'").select("model_id", "version", F.col("block_index").alias("ord")), ["model_id", "version"])
+    text = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    payload = F.concat(F.lit('{"version":'), text("version"), F.lit(',"modelName":'), text("name"), F.lit(',"modelId":'), text("model_id"), F.lit(f',"type":"model_registration",{NOTE}}}'))
+    empty = s.createDataFrame([], chain.BLOCKS)
+    return _told(writes.register_models(empty, r.where("version = '1.0.1'"), asked.withColumn("payload", payload), t.GENESIS_TS))
+
+
+def log_inferences(s, d):
+    """Every inference as a request on an empty chain; only models with a fourteenth version are registered."""
+    r = _inferences(s, d).select(F.col("block_index").alias("ord"), "ts", "model_id", "inference_id", F.col("data").alias("payload"))
+    return _told(writes.log_inferences(s.createDataFrame([], chain.BLOCKS), t.models(s, d).where("version = '1.0.14'"), r, t.GENESIS_TS))
+
+
+def verify_recleaned(s, d):
+    return chain.verify(t.tampered(t.stored(s, d)), "recleaned")
+
+
+def genesis_exists(s, d):
+    return chain.has_genesis(t.ledger(s, d))
+
+
+def anchors_append(s, d):
+    """The anchor to append after the last block, where one is due."""
+    blocks = t.stored(s, d)
+    made = anchors.new_anchor(blocks, t.anchors(s, d), leaves_of(blocks), "0xnew", t.GENESIS_TS, 1)
+    return made.select("last_block_index", "tx_hash", "chain_id", "anchored_at", "status", F.length("merkle_root").alias("root_chars"))
+
+
+def anchored_events(s, d):
+    """The contract event of every anchor."""
+    return anchors.anchored(t.anchors(s, d), "0xabc", "org-7", "Org", "health")
+
+
+def provenance_report(s, d):
+    """Every model's report over the chain with errors: its history as the hashes of its blocks."""
+    blocks = t.tampered(t.stored(s, d))
+    r = lookups.report(blocks, blocks.select("model_id"))
+    return r.select("model_id", "total_blocks", "chain_valid", F.size("verification_errors").cast("long").alias("errors"), F.element_at("verification_errors", 1).alias("first_error"), F.array_join(F.transform("history", lambda h: h["block_hash"]), ",").alias("hashes"))
+
+
+def stats_badges(s, d):
+    return chain.verify(t.tampered(t.stored(s, d))).select(lookups.badge(F.col("is_valid")).alias("badge"))
+
+
+def events_from_args(s, d):
+    """The contract's events from their positional arguments; those that cannot be decoded have none."""
+    e = t.anchor_events(s, d)
+    args = F.array("technical_address", "merkle_root", "organization_id", "organization_name", "domain", F.col("ts").cast("string"))
+    return _text(anchors.from_args(e.select("event_no", F.when(F.col("technical_address").isNotNull(), args).alias("args"))), "ts")
+
+
+def requests_ingested(s, d):
+    """Inference requests written as JSON lines and read back as a service would get them."""
+    path = shared_path(s, "requests")
+    fields = {"modelId": "model_id", "inferenceId": "inference_id", "inputHash": "input_hash", "outputHash": "output_hash"}
+    _inferences(s, d).select(*[F.col(c).alias(k) for k, c in fields.items()]).write.json(path)
+    return t.read_requests(s, path).select(*[F.col(k).alias(c) for k, c in fields.items()])
+
+
 def generated_events(s, d):
     return t.generated_events(s, 1000, 7)
 
@@ -292,7 +375,8 @@ def queries() -> dict:
         provenance_history, provenance_summary, chain_stats, chain_height, model_count, models_recent, models_page, model_by_id, model_by_name, model_ids, events_per_model, blocks_per_model, latest_block, type_labels,
         merkle_root_sha256, merkle_root_sorted_pairs, merkle_root_keccak, prefix_roots, anchor_prefix_roots, anchor_proofs, inclusion_proofs, anchor_decision, anchors_page, anchors_pending, anchors_confirm, contract_events, events_by_address, events_by_org,
         inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, action_links_all, data_structure_keys,
-        conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events,
+        conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events, models_recent_all, register_models, log_inferences, verify_recleaned, genesis_exists, anchors_append, anchored_events,
+        provenance_report, stats_badges, events_from_args, requests_ingested,
     ]
     return {f.__name__: f for f in own}
 

@@ -105,6 +105,20 @@ tree as (
 select cast(length as bigint) as length, level[1] as root from tree where len(level) = 1
 """
 
+#: Keccak-256 of 'org-7', a fixed value.
+ORG_7 = "0afbff16cff0a8240eebf3730a655a9b7d7debf6d7d8d3d6c21e328c9ab7d9ab"
+#: The acknowledgements of requests that are appended to an empty chain after its genesis block.
+WRITTEN = r""",
+judged as materialized ({judged}),
+accepted as materialized (
+  select 0 as n, cast(null as bigint) as ord, '0|1700000000|{{"metadata":{{"description":"Genesis block"}},"modelId":"genesis","type":"model_registration"}}|' as t
+  union all select row_number() over (order by ord), ord, row_number() over (order by ord) || '|' || ts || '|' || data || '|' from judged where reason is null),
+hashed as (
+  select n, ord, sha256(t || '0') as h from accepted where n = 0
+  union all select a.n, a.ord, sha256(a.t || l.h) from hashed l join accepted a on a.n = l.n + 1)
+select j.ord, {columns}, j.reason is null as success, j.reason, cast(h.n as varchar) as block_index, h.h as block_hash from judged j left join hashed h on j.ord = h.ord
+"""
+
 ORACLE = {
     "ledger_build": CHAIN + "select block_index, ts, data, previous_hash, hash from blocks",
     "ledger_head": CHAIN + "select block_index, hash from blocks order by block_index desc limit 1",
@@ -155,4 +169,23 @@ ORACLE = {
     "data_structure_keys": CHAIN + "select block_index, case when block_index = 0 then 'metadata,modelId,type' when type = 'inference' then 'executedAt,inferenceId,inputHash,modelId,outputHash,type' else 'modelHash,modelId,modelName,type,version' end as keys, false as has_null, case when block_index = 0 then '{\"metadata\":{},\"modelId\":\"genesis\",\"type\":\"model_registration\"}' else data end as text from blocks",
     "conversation_hashes": "select conv_id, turn, sha256(text) as text_hash from conversations",
     "per_model_heads": BASE + ", k as materialized (select model_id, i, row_number() over (partition by model_id order by i) as n, i || '|' || ts || '|' || data || '|' as t from requests), h as (select model_id, n, i, sha256(t || '0') as hash from k where n = 1 union all select k.model_id, k.n, k.i, sha256(k.t || h.hash) from h join k on k.model_id = h.model_id and k.n = h.n + 1) select model_id, max(n) as blocks, arg_max(hash, n) as head from h group by 1",
+    "models_recent_all": BASE + MODELS + "select * from models",
+    "verify_recleaned": TAMPERED + ", r as (select broken, sha256(block_index || '|' || ts || '|' || rtrim(data) || '|' || previous_hash) <> hash and not broken and before is not null as bad from flags) " + VERIFY.format("r"),
+    "genesis_exists": CHAIN + "select count(*) filter (block_index = 0) > 0 as has_genesis from blocks",
+    "anchors_append": BASE + ANCHORS + ", x as (select (select max(i) from requests) as l, (select coalesce(max(last_block_index), -1) from anchors) as a) select l as last_block_index, '0xnew' as tx_hash, cast(11155111 as bigint) as chain_id, cast(1700000000 as bigint) as anchored_at, 'pending' as status, cast(66 as integer) as root_chars from x where l - a >= 1",
+    "anchored_events": BASE + ANCHORS + f"select '0xabc' as technical_address, merkle_root, '0x{ORG_7}' as organization_id, 'Org' as organization_name, 'health' as domain, anchored_at as ts from anchors",
+    "events_by_org": f"select * replace (cast(ts as bigint) as ts), '{ORG_7}' as organization_hash from (" + EVENTS + ") where organization_id = 'org-7'",
+    "provenance_report": TAMPERED + ", e as (select count(*) filter (bad) + count(*) filter (broken) as n, arg_min(case when bad then 'Block ' || block_index || ': Hash mismatch' else 'Block ' || block_index || ': Hashchain broken ! (previousHash: ' || substr(previous_hash, 1, 16) || '..., expected: ' || substr(before, 1, 16) || '...)' end, block_index) filter (bad or broken) as first_error from flags) select b.model_id, count(*) as total_blocks, e.n = 0 as chain_valid, e.n as errors, e.first_error, string_agg(b.hash, ',' order by b.block_index) as hashes from blocks b, e group by b.model_id, e.n, e.first_error",
+    "stats_badges": TAMPERED + "select case when count(*) filter (bad or broken) = 0 then 'Passing' else 'Failing' end as badge from flags",
+    "events_from_args": "select * replace (cast(ts as varchar) as ts) from (" + EVENTS + ")",
+    "requests_ingested": BASE + "select model_id, inference_id, input_hash, output_hash from requests where type = 'inference'",
+    "canonical_events": "select event_id, '{\"k\":' || regexp_extract(props, '-?[0-9]+') || '}' as canonical, '{\"b\":{\"k\":' || regexp_extract(props, '-?[0-9]+') || '},\"c\":[{},\"\"]}' as cleaned from events",
+    "register_models": BASE + WRITTEN.format(
+        judged="select i as ord, ts, model_id, name, version, case when version = '1.0.1' then 'name and version exist' end as reason, '{\"modelId\":\"' || model_id || '\",\"modelName\":\"' || name || '\",\"note\":\"a \\\"quoted\\\" <word>\",\"type\":\"model_registration\",\"version\":\"' || version || '\",\"x\":[\"\",{},1]}' as data from requests where type = 'model_registration'",
+        columns="model_id, name, version",
+    ),
+    "log_inferences": BASE + MODELS + WRITTEN.format(
+        judged="select i as ord, ts, model_id, inference_id, case when model_id not in (select model_id from models where version = '1.0.14') then 'Model ID ' || model_id || ' does not exist' end as reason, data from requests where type = 'inference'",
+        columns="model_id, inference_id",
+    ),
 }

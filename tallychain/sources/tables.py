@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallychain.functions.text import iso
 from tallychain.operators.chain import fold, genesis
 from tallychain.operators.numbering import numbered
+from tallychain.session import shared_path
 
 #: The derived ledger's first timestamp, how far its anchors lie apart, and which of them have a wrong root (one in so many).
 GENESIS_TS, ANCHOR_STEP, WRONG_ROOT = 1700000000, 50, 20
@@ -64,6 +65,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(rows)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived chain, folded once, written to the shared folder and read from there, with its payload's fields as columns."""
+    return write_chain(ledger(spark, sf_dir))
+
+
 def tampered(blocks: DataFrame) -> DataFrame:
     """blocks with a space after every 97th payload and 'x' for every 101st previous hash, the first block aside."""
     later = F.col("block_index") > 0
@@ -154,6 +160,16 @@ def generated_events(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     )
 
 
+def write_chain(folded: DataFrame, per_file: int = 1 << 18) -> DataFrame:
+    """Write a chain as it comes out of the fold, in order of its index, and read it back: files and row groups hold ranges of the index, so that
+    filters on block_index, and by their statistics and a bloom filter on hash, leave out most of them."""
+    spark = folded.sparkSession
+    path = shared_path(spark, "ledger")
+    rows = promoted(folded)
+    rows.write.option("maxRecordsPerFile", per_file).option("parquet.bloom.filter.enabled#hash", "true").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def write_blocks(blocks: DataFrame, path: str, mode: str = "append", per_file: int = 1 << 20) -> None:
     """Append blocks as Parquet, with the payload's fields beside it, sorted so that an index prunes row groups and files."""
     rows = promoted(blocks).withColumn("index_range", F.floor(F.col("block_index") / per_file).cast("long"))

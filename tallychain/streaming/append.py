@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallychain.operators import chain
+from tallychain.functions.hashing import unhex_strict
+from tallychain.operators import anchors, chain
+from tallychain.operators.numbering import numbered
+from tallychain.session import staged
+
+ANCHORS = "merkle_root string, last_block_index long, tx_hash string, block_number long, chain_id long, anchored_at long, status string"
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, now: int | None = None) -> StreamingQuery:
@@ -23,7 +30,10 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, then: Callable[[D
         if now is not None:
             batch = batch.where(F.col("ts") <= now)
         target = f"{path}/batch_id={number}"
-        before = read_chain(spark, path).where(F.col("batch_id") < number).drop("batch_id")
+        # the tip is in the batch before, unless that had no rows
+        chain_now = read_chain(spark, path).where(F.col("batch_id") < number)
+        last = chain_now.where(F.col("batch_id") == number - 1)
+        before = (chain_now if last.isEmpty() else last).drop("batch_id")
         chain.append(before, batch).write.mode("overwrite").parquet(target)
         if then:
             then(read_chain(spark, path), number)
@@ -34,9 +44,42 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, then: Callable[[D
 def read_chain(spark, path: str) -> DataFrame:
     """The chain's blocks with their batch; empty before the first batch."""
     schema = f"{chain.BLOCKS}, batch_id long"
+    return _read(spark, path, schema)
+
+
+def _read(spark, path: str, schema: str) -> DataFrame:
+    """What is written under path; empty before anything is."""
     try:
         return spark.read.schema(schema).option("basePath", path).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def anchoring(path: str, send: Callable[[str], str], step: int = 50, now: Callable[[], int] = lambda: int(time.time())) -> Callable[[DataFrame, int], None]:
+    """A `then` for append_stream that anchors the chain after a batch where an anchor is due. send publishes a root and gives its transaction's
+    hash. Anchors are appended under path, one folder a batch, overwritten if the batch runs again."""
+
+    def then(blocks: DataFrame, number: int) -> None:
+        spark = blocks.sparkSession
+        done = _read(spark, path, f"{ANCHORS}, batch_id long").where(F.col("batch_id") < number)
+        if not anchors.decide(blocks, done, step).where("due").isEmpty():
+            leaves = numbered(blocks.select("block_index", "hash"), "block_index", "pos", 0, "hash").select("pos", unhex_strict(F.col("hash")).alias("leaf"))
+            made = staged(anchors.new_anchor(blocks, done, leaves, "", now(), step), "anchor")
+            made.withColumn("tx_hash", F.lit(send(made.first().merkle_root))).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    return then
+
+
+def confirm_stream(receipts: DataFrame, start: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Confirm pending anchors from a stream of receipts(tx_hash, block_number): each micro-batch writes the anchors as they are then under
+    path/batch_id=N, from those of the batch before, or from start. With `every` (a trigger interval such as '10 minutes') it runs on."""
+    spark = receipts.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        now = _read(spark, path, f"{ANCHORS}, batch_id long").where(F.col("batch_id") == number - 1).drop("batch_id")
+        anchors.confirm(start.select(*now.columns) if now.isEmpty() else now, batch).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    writer = receipts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -1,0 +1,226 @@
+"""Composed writes, the registry's guards, canonical edge cases, the second verifier's text, anchors, tools, CLI and sparse keys."""
+
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallychain import cli
+from tallychain.functions import canonical, hashing
+from tallychain.functions.text import has_id
+from tallychain.operators import anchors, chain, lookups, merkle, numbering, registry, writes
+from tallychain.plans import tools
+from tallychain.sources import tables
+from tallychain.streaming import append
+
+GENESIS = 1700000000
+
+
+def taken_one_by_one(asked, known):
+    names, ids, out = {(n, v) for _, n, v in known}, {(m, v) for m, _, v in known}, []
+    for m, n, v in asked:
+        reason = "name and version exist" if (n, v) in names else "model and version exist" if (m, v) in ids else None
+        if reason is None:
+            names.add((n, v))
+            ids.add((m, v))
+        out.append(reason)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_registrations_equal_a_sequential_loop(spark, seed):
+    r = random.Random(seed)
+    draw = lambda: (f"m{r.randrange(7)}", f"n{r.randrange(7)}", str(r.randrange(2)))
+    known, asked = list({draw() for _ in range(3)}), [draw() for _ in range(60)]
+    models = spark.createDataFrame(known, "model_id string, name string, version string")
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "ord long, model_id string, name string, version string").repartition(3)
+    found = [x.reason for x in registry.registrations(df, models, "ord").orderBy("ord").collect()]
+    want = taken_one_by_one(asked, known)
+    assert [x is None for x in found] == [x is None for x in want]
+
+
+def test_a_refused_request_takes_nothing(spark):
+    models = spark.createDataFrame([("A", "x", "1")], "model_id string, name string, version string")
+    df = spark.createDataFrame([(1, "A", "n", "1"), (2, "B", "n", "1")], "ord long, model_id string, name string, version string")
+    assert [x.reason for x in registry.registrations(df, models, "ord").orderBy("ord").collect()] == ["model and version exist", None]
+
+
+def test_create_and_update(spark):
+    models = spark.createDataFrame([("A", "x", "1")], "model_id string, name string, version string")
+    rows = spark.createDataFrame([("A", "y", "1"), ("B", "x", "1"), ("C", "z", "1")], "model_id string, name string, version string")
+    assert sorted(r.model_id for r in registry.create(models, rows).collect()) == ["A", "C"]
+    changes = spark.createDataFrame([("A", "1", "q"), ("A", "1", "p")], "model_id string, version string, new_name string")
+    assert [tuple(r) for r in registry.update(models, changes).collect()] == [("A", "p", "1")]
+
+
+def test_registering_writes_genesis_blocks_and_rows(spark):
+    rows = [(1, 5, "m", "n", "1", '{"type":"t","e":{},"x":[null,""],"s":"a \\"q\\"","b":2.0,"hash":"h"}'), (2, 6, "m", "n", "1", "{}"), (3, 7, "k", "o", "1", "no json"), (4, 8, "k", "o", "1", '{"a":1}')]
+    asked = spark.createDataFrame(rows, "ord long, ts long, model_id string, name string, version string, payload string")
+    none = spark.createDataFrame([], "model_id string, name string, version string")
+    made = writes.register_models(spark.createDataFrame([], chain.BLOCKS), none, asked, GENESIS)
+    blocks = made.blocks.orderBy("block_index").collect()
+    assert [b.block_index for b in blocks] == [0, 1, 2] and blocks[1].data == '{"b":2,"s":"a \\"q\\"","type":"t","x":[{},""]}'
+    assert chain.verify(made.blocks).first().is_valid
+    acks = {r.ord: r for r in made.acks.collect()}
+    assert [acks[i].reason for i in (1, 2, 3, 4)] == [None, "name and version exist", "no payload", None]
+    assert (acks[4].block["index"], acks[4].block.hash, acks[4].block.timestamp, acks[2].block) == (2, blocks[2].hash, 8, None)
+    assert sorted(r.model_id for r in made.models.collect()) == ["k", "m"]
+    more = spark.createDataFrame([(1, 9, "m", "i", '{"z":1}'), (2, 9, "q", "j", "{}")], "ord long, ts long, model_id string, inference_id string, payload string")
+    logged = writes.log_inferences(made.blocks, made.models, more)
+    assert [(b.block_index, b.previous_hash) for b in logged.blocks.collect()] == [(3, blocks[2].hash)]
+    assert {r.ord: r.reason for r in logged.acks.collect()} == {1: None, 2: "Model ID q does not exist"}
+    empty = writes.log_inferences(made.blocks, made.models, more.where("ord = 2"))
+    assert empty.blocks.count() == 0 and empty.acks.count() == 1
+
+
+@pytest.mark.parametrize("text", ['{"a":"\\ud800"}', "[" * 20000 + "]" * 20000, "{", ""])
+def test_what_has_no_canonical_text_is_null(spark, text):
+    df = spark.createDataFrame([(text,), ('{"b":1,"a":2}',), (None,)], "t string")
+    for f in (canonical.jcs, canonical.clean_json, canonical.debug_json, canonical.reader_json, canonical.payload_json):
+        found = [r[0] for r in df.select(f(F.col("t"))).collect()]
+        assert found == [None, '{"a":2,"b":1}', None]
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"b":"<a> & c","a":[null,"",1,{}],"c":{"d":null},"e":false}', '{"a":[1,{}],"b":"\\u003ca\\u003e \\u0026 c","e":false}'),
+    ('{"ﬀ":1,"😀":2}', '{"ﬀ":1,"😀":2}'), ('{"n":12345678901234567,"f":1e21,"g":0.5,"z":-0.0}', '{"f":1e+21,"g":0.5,"n":12345678901234567,"z":-0}'), ('{"_id":1,"s":"\\u2028"}', '{"_id":1,"s":"\\u2028"}'),
+    ("[1]", None), ('{"a":null}', "{}"),
+])
+def test_the_second_verifiers_text(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(canonical.reader_json(F.col("t"))).first()[0] == want
+
+
+def test_recleaned_verification(spark):
+    stored = '{"x":[{},""],"s":"<"}'
+    text = '{"s":"\\u003c","x":[{}]}'
+    h = hashlib.sha256(f"1|2|{text}|p".encode()).hexdigest()
+    blocks = spark.createDataFrame([(0, 1, "{}", "0", "p"), (1, 2, stored, "p", h)], chain.BLOCKS)
+    assert chain.verify(blocks, "recleaned").first().is_valid and not chain.verify(blocks, "reader").first().is_valid
+
+
+def test_null_keys_have_one_chain(spark):
+    rows = spark.createDataFrame([(None, 0, 1, "a"), (None, 1, 1, "b"), (3, 0, 1, "c")], "k long, block_index long, ts long, data string")
+    found = {(r.k, r.block_index): r for r in chain.fold(rows, keys=("k",)).collect()}
+    assert found[None, 1].previous_hash == found[None, 0].hash and found[3, 0].previous_hash == "0"
+
+
+def test_nulls_are_hashed_as_nothing(spark):
+    rows = spark.createDataFrame([(0, None, None)], "block_index long, ts long, data string")
+    assert chain.fold(rows).first().hash == hashlib.sha256(b"0|||0").hexdigest() and chain.verify(chain.fold(rows)).first().is_valid
+
+
+@pytest.mark.parametrize("span", [2, 7, 1 << 16])
+def test_sparse_and_repeated_keys(spark, span):
+    r = random.Random(span)
+    keys = sorted([r.randrange(-(10**12), 10**12) for _ in range(60)] + [5] * 4 + list(range(20)))
+    rows = spark.createDataFrame([(k, f"v{i:03d}") for i, k in enumerate(keys)], "k long, v string").repartition(4)
+    want = sorted((k, f"v{i:03d}") for i, k in enumerate(keys))
+    got = numbering.numbered(rows, "k", "n", 0, "v", span).orderBy("n").collect()
+    assert [(x.k, x.v, x.n) for x in got] == [(*kv, n) for n, kv in enumerate(want)]
+    before = {x.v: x.b for x in numbering.with_previous(rows, "k", "v", "b", "v", span).collect()}
+    assert before == {v: want[n - 1][1] if n else None for n, (_, v) in enumerate(want)}
+
+
+def test_event_records_and_ids(spark, tmp_path):
+    lines = [{"event_no": 1, "args": ["0xA", "r", "h", "n", "d", "17"]}, {"event_no": 2, "args": None}, {"event_no": 3, "args": ["x"]}]
+    (tmp_path / "log.json").write_text("\n".join(map(json.dumps, lines)))
+    found = {r.event_no: r for r in anchors.read_events(spark, str(tmp_path)).collect()}
+    assert tuple(found[1])[1:] == ("0xA", "r", "h", "n", "d", 17) and set(tuple(found[2])[1:]) == {None} == set(tuple(found[3])[1:])
+    assert anchors.by_address(spark.createDataFrame([("0xAb",), (None,)], "technical_address string"), "0XaB").count() == 1
+    ids = spark.createDataFrame([(" ",), ("a",), (None,), ("",)], "i string")
+    assert [r[0] for r in ids.select(has_id(F.col("i"))).collect()] == [False, True, False, False]
+
+
+def test_untyped_documents(spark):
+    rows = spark.createDataFrame([("7", "x", None, "p", "h"), (None, "9", "d", None, None)], "index string, timestamp string, data string, previousHash string, hash string")
+    assert [tuple(r) for r in lookups.typed_blocks(rows).collect()] == [(7, 0, "", "p", "h"), (0, 9, "d", "", "")]
+
+
+def test_artefacts_and_requests(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.bin").write_bytes(b"weights")
+    assert [(r.length, r.model_hash) for r in tables.read_artifacts(spark, str(tmp_path)).collect()] == [(7, hashlib.sha256(b"weights").hexdigest())]
+    (tmp_path / "r.json").write_text('{"modelId":"m","inferenceId":"i","params":{"a":[1,null]}}\n')
+    row = tables.read_requests(spark, str(tmp_path / "r.json")).first()
+    assert (row.modelId, row.inferenceId, json.loads(row.params), row.outputHash) == ("m", "i", {"a": [1, None]}, None)
+
+
+@pytest.fixture
+def small(spark):
+    return chain.fold(spark.range(12).select(F.col("id").alias("block_index"), (F.col("id") + 5).alias("ts"), F.lit('{"modelId":"m","type":"inference"}').alias("data")))
+
+
+def plain_sorted_root(hashes):
+    nodes = [bytes.fromhex(h) for h in hashes]
+    while len(nodes) > 1:
+        nodes = merkle.SORTED.up(nodes)
+    return "0x" + nodes[0].hex()
+
+
+def test_new_anchors(spark, small):
+    leaves = small.select(F.col("block_index").alias("pos"), hashing.unhex_strict(F.col("hash")).alias("leaf"))
+    none = spark.createDataFrame([], append.ANCHORS)
+    root = plain_sorted_root([r.hash for r in small.orderBy("block_index").collect()])
+    made = anchors.new_anchor(small, none, leaves, "0x1", 9, 5)
+    assert [tuple(r) for r in made.collect()] == [(root, 11, "0x1", None, 11155111, 9, "pending")]
+    assert anchors.new_anchor(small, made, leaves, "0x2", 9, 5).count() == 0
+    assert tuple(anchors.manual_anchor(leaves, "0x3", 9).first()) == (root, None, "0x3", None, 11155111, 9, None)
+    event = anchors.anchored(made, "0xabc", "org", "Org", "d").first()
+    assert event.organization_id == "0x" + hashing.keccak256_many([b"org"])[0].hex() and (event.merkle_root, event.ts) == (root, 9)
+
+
+def test_streams_anchor_and_confirm(spark, tmp_path):
+    source, sink, mark, kept = (str(tmp_path / x) for x in ("in", "out", "mark", "anchors"))
+    sent = []
+    for start in (0, 6, 6, 20):
+        spark.range(start, start + 6).selectExpr("id as ord", "id as ts", "'{}' as data").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ord long, ts long, data string").parquet(source)
+        append.append_stream(stream, sink, mark, append.anchoring(kept, lambda root: sent.append(root) or f"0x{len(sent)}", 10, lambda: 3)).awaitTermination(120)
+    made = spark.read.parquet(kept).drop("batch_id").orderBy("last_block_index").collect()
+    hashes = [r.hash for r in append.read_chain(spark, sink).orderBy("block_index").collect()]
+    assert [(r.last_block_index, r.tx_hash) for r in made] == [(11, "0x1"), (23, "0x2")]
+    assert [r.merkle_root for r in made] == sent == [plain_sorted_root(hashes[:12]), plain_sorted_root(hashes)]
+    receipts, out = str(tmp_path / "receipts"), str(tmp_path / "confirmed")
+    for tx in ("0x2", "0x1"):
+        spark.createDataFrame([(tx, 7)], "tx_hash string, block_number long").coalesce(1).write.mode("append").parquet(receipts)
+        stream = spark.readStream.schema("tx_hash string, block_number long").parquet(receipts)
+        append.confirm_stream(stream, spark.createDataFrame(made, append.ANCHORS), out, str(tmp_path / "mark2")).awaitTermination(120)
+    status = {(r.batch_id, r.tx_hash): r.status for r in spark.read.parquet(out).collect()}
+    assert status == {(0, "0x1"): "pending", (0, "0x2"): "confirmed", (1, "0x1"): "confirmed", (1, "0x2"): "confirmed"}
+
+
+def test_tools_by_name(spark, small):
+    models = spark.createDataFrame([("m", "n", "1", 1)], "model_id string, name string, version string, created_at long")
+    stored = tools.Stored(tables.promoted(small), models, spark.range(3).toDF("event_id"))
+    assert tuple(tools.call("healthcheck", stored).first()) == ("ok", 11) and tools.call("get_block", stored, index=4).first().block_index == 4
+    row = tools.call("provenance_by_model", stored, model_id="m").first()
+    assert row.total_blocks == 12 and row.chain_valid and row.verification_errors == [] and [h.block_index for h in row.history] == list(range(12))
+    assert all(tools.call(n, stored).columns for n in ("verify_chain", "list_models", "list_events", "audit_inference"))
+    with pytest.raises(ValueError, match="no tool"):
+        tools.call("nothing", stored)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    blocks, models = str(tmp_path / "blocks"), str(tmp_path / "models")
+    (tmp_path / "m.json").write_text('{"modelId":"m","modelName":"n","version":"1","params":{"a":""}}\n{"modelId":"m","modelName":"n","version":"1"}\n')
+    (tmp_path / "i.json").write_text('{"modelId":"m","inferenceId":"i1","inputHash":"a"}\n{"modelId":"x","inferenceId":"i2"}\n')
+    where = ["--blocks", blocks, "--models", models]
+    assert cli.main(["register-model", *where, "--requests", str(tmp_path / "m.json"), "--ts", "5"]) == 1
+    assert cli.main(["register-inference", *where, "--requests", str(tmp_path / "i.json"), "--ts", "6"]) == 1
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["success"] for x in told] == [True, False, True, False] and told[2]["block"]["index"] == 2
+    assert cli.main(["verify", *where, "--mode", "writer"]) == 0 and json.loads(capsys.readouterr().out)["is_valid"]
+    assert cli.main(["height", *where]) == 0 and json.loads(capsys.readouterr().out) == {"height": 2}
+    assert cli.main(["get-by-index", *where, "--index", "9"]) == 1 and cli.main(["models-get", *where, "--model-id", "m"]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["get-by-hash", *where])
+
+
+def test_stored_chain_prunes(spark):
+    stored = tables.write_chain(chain.fold(spark.range(500).selectExpr("id as block_index", "id as ts", """'{"modelId":"m","type":"inference"}' as data""")), 100)
+    for rows, name in ((lookups.by_index(stored, 7), "block_index"), (lookups.by_hash(stored, "x"), "hash"), (lookups.history(stored, "m"), "model_id")):
+        plan = rows._jdf.queryExecution().toString()
+        assert f"EqualTo({name}," in plan[plan.index("PushedFilters") :] and "MapInArrow" not in plan and "PythonUDF" not in plan
+    assert lookups.by_index(stored, 7).first().block_index == 7 and len(stored.inputFiles()) == 5
