@@ -1,31 +1,26 @@
-"""What the corpus operators share: the shared folder, staged tables and bounded Arrow batches."""
+"""What the corpus operators share: the shared folder and staged tables (of the session's module), tables and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from tallychain.session import shared_dir, staged
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_SHARED = "file:///tmp/checkpoints/tallychain"
+__all__ = ["SALTS", "bounded_batches", "salt", "salted", "shared_dir", "staged", "table"]
 
+#: Parts over which the rows of one hot key are dealt in a join.
+SALTS = 16
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach (spark.checkpoint.dir)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = LOCAL_SHARED
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
+def salt(of: str) -> Column:
+    """The part of a row, by a column that tells rows of one key apart."""
+    return F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs a reread, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def salted(few: DataFrame) -> DataFrame:
+    """few, with one row for each part in column __salt, to be joined by the key and salt()."""
+    return few.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

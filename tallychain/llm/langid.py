@@ -27,14 +27,19 @@ def has_letter(text: str | None) -> bool:
 
 
 def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram of the lower-cased text occurs; what is not a letter is one space."""
+    """How often each hashed n-gram of the lower-cased text occurs. Runs of what is neither a to z nor from U+00AA on (but for the signs × and ÷)
+    are one space, and one goes before and after a text; what comes later counts as letters, marks and signs alike."""
     total = np.zeros(DIMS, np.float64)
     text = text.lower()
+    held = np.zeros(0, np.uint64)  # the end of what is counted, for n-grams over a cut
     for at in range(0, len(text), CHUNK):
-        x = np.frombuffer(text[max(0, at - 2) : at + CHUNK].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        x = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         letter = (x >= 97) & (x <= 122) | (x >= 0xAA) & (x != 0xD7) & (x != 0xF7)
         x = np.where(letter, x, 32)
-        x = np.concatenate(([32], x[np.r_[True, (x[1:] != 32) | (x[:-1] != 32)]], [32])).astype(np.uint64)
+        before = np.concatenate((held[-1:] if at else [0], x[:-1]))
+        x = x[(x != 32) | (before != 32)]
+        new = np.concatenate(([32] if not at else [], x, [32] if at + CHUNK >= len(text) else [])).astype(np.uint64)
+        x = np.concatenate((held, new))
         h = np.zeros(len(x), np.uint64)
         for order in range(1, max(ORDERS) + 1):
             n = len(x) - order + 1
@@ -43,7 +48,9 @@ def counts(text: str) -> np.ndarray:
             h = (h[:n] * np.uint64(0x9E3779B1) + x[order - 1 :]) & np.uint64(0xFFFFFFFF)
             if order in ORDERS:
                 mixed = (h * np.uint64(0x85EBCA6B) + np.uint64(order)) & np.uint64(0xFFFFFFFF)
-                total += np.bincount((mixed >> np.uint64(20)).astype(np.int64), minlength=DIMS)[:DIMS]
+                seen = max(0, len(held) - order + 1)  # those that end in what is held were counted with it
+                total += np.bincount((mixed[seen:] >> np.uint64(20)).astype(np.int64), minlength=DIMS)[:DIMS]
+        held = x[-(max(ORDERS) - 1) :]
     return total
 
 
@@ -101,7 +108,9 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, id_col: str
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([counts(t).astype(np.float32).tobytes() if has_letter(t) else None for t in texts])
 
-    rows = chosen.select("doc_id", "lang", packed("text").alias("tf")).where("tf is not null").collect()
+    # rows that repeat an id and a language count as one
+    found = chosen.select("doc_id", "lang", packed("text").alias("tf")).where("tf is not null")
+    rows = found.groupBy("doc_id", "lang").agg(F.min("tf").alias("tf")).collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.tf))
     if not rows:
         return Model([], np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))

@@ -136,13 +136,15 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network learned from at most per_label documents of either label, those of the least hashed ids, so that the driver gets a
-    bounded sample. Documents whose id's class is 2 are not learned from. Without labels the network stays as it began."""
+    bounded sample. Documents whose id's class is 2 are not learned from, nor those with both labels; rows that repeat an id count as one, by
+    their least chunks. Without labels the network stays as it began."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_class() != 2))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     mixed = F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string")).cast("binary"))
     lots = [known.where(F.col("y") == y).orderBy(mixed, "doc_id").limit(per_label) for y in (0, 1)]
-    sample = lots[0].union(lots[1]).dropDuplicates(["doc_id"])
+    sample = lots[0].union(lots[1])
 
     @F.pandas_udf("binary")
     def spread(texts: pd.Series) -> pd.Series:
@@ -154,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps: i
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = own.join(F.broadcast(sample), "doc_id").select("doc_id", "y", spread("text").alias("chunks"))
-    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.chunks))[: 2 * per_label]
+    found = found.groupBy("doc_id", "y").agg(F.min("chunks").alias("chunks"))
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.chunks))
     net = Network()
     if rows:
         net.train([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r.y for r in rows], np.float32), steps)

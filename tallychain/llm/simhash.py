@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallychain.llm.common import bounded_batches, staged
+from tallychain.llm.common import bounded_batches, salt, salted, staged
 from tallychain.llm.components import components
 
 SEED = 42
@@ -129,16 +129,32 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     has fingerprint zero and links like any other. Null ids link too, but name no group: a group of nulls only has a null component_id.
     """
     own = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = staged(link_fingerprints(least, distance), "linked")
-    named = linked.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = linked.join(named, "root").select("fp", "component_id")
-    return own.join(groups, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the least doc_id. Of rows that repeat an id, one stays; rows
-    without id go, as nothing names them."""
-    found = near_duplicates(docs, **how)
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return own.join(named(own.groupBy("fp").agg(F.min("doc_id").alias("least")), distance), "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def named(fps: DataFrame, distance: int) -> DataFrame:
+    """fps(fp: distinct, least) -> (fp, least): the least of each fingerprint's whole group. Fingerprints that link to no other have theirs; the
+    members of a group, which can be many, look up its least in salted parts."""
+    fps = staged(fps, "least")
+    linked = staged(link_fingerprints(fps, distance).join(fps, "fp"), "linked")
+    groups = linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n").withColumnRenamed("root", "r")
+    dealt = linked.withColumn("part", salt("fp"))
+    return dealt.join(salted(groups), (F.col("root") == F.col("r")) & (F.col("part") == F.col("__salt")), "left").select("fp", F.when(F.col("r").isNull(), F.col("least")).otherwise(F.col("first")).alias("least"))
+
+
+def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each near-duplicate group: the one with the least id, then the least hash of its text; null ids come last, but a
+    group of nulls only keeps one too. Rows that repeat an id with different texts are different documents; of rows that repeat both, one stays."""
+    rows = docs.withColumn("__tid", F.xxhash64(F.col(text_col)))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tid")
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x, width) for x in texts], np.uint64).view(np.int64))
+
+    own = staged(rows.select(F.col(id_col).alias("doc_id"), F.col("__tid").alias("tid"), fp(F.col(text_col)).alias("fp")), "fingerprints")
+    kept = named(own.groupBy("fp").agg(F.min(order).alias("least")), distance).select("least.*").distinct()
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__keep"))
+    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__tid") == F.col("__keep")), "left_semi")
+    return out.dropDuplicates([id_col, "__tid"]).select(*docs.columns)
