@@ -19,7 +19,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The mark that stands for a space. No piece of the model holds a mark after another character.
 MARK = "▁"
 #: Encoded words that a worker keeps.
-KEPT = 100_000
+KEPT = 40_000
 
 
 class Suffix(NamedTuple):
@@ -248,7 +248,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id"
     spaces in their place and is not lossless. Texts of any length are encoded whole; repeated rows give repeated results; an empty table
     gives an empty table. Only the id and the text are read.
     """
-    bounded_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession, 300)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_kind = own.schema["doc_id"].dataType.simpleString()
 
