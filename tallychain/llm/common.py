@@ -23,10 +23,10 @@ def salted(few: DataFrame) -> DataFrame:
     return few.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows and 8 MB, so that long texts don't pile up in a worker."""
+def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Arrow batches of at most so many rows and 2 MB, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
