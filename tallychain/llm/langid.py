@@ -109,8 +109,9 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, id_col: str
         return pd.Series([counts(t).astype(np.float32).tobytes() if has_letter(t) else None for t in texts])
 
     # rows that repeat an id and a language count as one
-    found = chosen.select("doc_id", "lang", packed("text").alias("tf")).where("tf is not null")
-    rows = found.groupBy("doc_id", "lang").agg(F.min("tf").alias("tf")).collect()
+    found = chosen.select("doc_id", "lang", packed("text").alias("tf"))
+    # nulls go after the grouping: before it, the test would pack each text once more
+    rows = found.groupBy("doc_id", "lang").agg(F.min("tf").alias("tf")).where("tf is not null").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.tf))
     if not rows:
         return Model([], np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))
