@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.llm import html, langid, media, mixing, pieces, quality, sharding, simhash, tokens, topk
+from tallychain.llm import filters, html, langid, media, mixing, ordermin, pieces, quality, repair, sharding, simhash, tokens, topk
 from tallychain.llm.common import table
 
 
@@ -52,11 +52,23 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = [op1_simhash, op2_media, op3_token_counts, op4_pieces, op5_language, op6_quality, op7_html, op8_mixing, op9_sharding, op10_top_k]
+    own = [op1_simhash, op2_media, op3_token_counts, op4_pieces, op5_language, op6_quality, op7_html, op8_mixing, op9_sharding, op10_top_k, op11_repair, op12_filter_audit, op13_fingerprints]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op8_mixing": mixing.MIX_SQL, "op10_top_k": topk.TOP_K_SQL}
+    found = {"op8_mixing": mixing.MIX_SQL, "op10_top_k": topk.TOP_K_SQL, "op12_filter_audit": filters.AUDIT_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
