@@ -27,8 +27,8 @@ def unhex_strict(text: Column) -> Column:
 
 
 def unhex_prefixed(text: Column) -> Column:
-    """Bytes of hex digits with or without 0x before them."""
-    return F.unhex(F.regexp_replace(text, "^0x", ""))
+    """Bytes of hex digits of either case with or without 0x before them; null for what is none."""
+    return F.unhex(F.regexp_replace(text, "^0[xX]", ""))
 
 
 def _permute(a: list[list[np.ndarray]]) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.functions.hashing import keccak256_many
+from tallychain.functions.hashing import keccak256_many, unhex_prefixed
 from tallychain.operators import merkle
 
 
@@ -55,10 +55,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return from_args(spark.read.schema("event_no long, args array<string>").json(path))
 
 
-def new_anchor(blocks: DataFrame, anchors: DataFrame, leaves: DataFrame, tx_hash: str, ts: int, step: int = 50, chain_id: int = 11155111) -> DataFrame:
-    """The anchor row to append where one is due, else no row: the sorted-pair root over all blocks, pending. The transaction is the caller's."""
+def new_anchor(blocks: DataFrame, anchors: DataFrame, leaves: DataFrame, tx_hash: str, ts: int, step: int = 50, chain_id: int = 11155111, tree: merkle.Tree = merkle.SORTED) -> DataFrame:
+    """The anchor row to append where one is due, else no row: the root over all blocks, pending. The transaction is the caller's."""
     due = decide(blocks, anchors, step).where("due").select("last_block_index")
-    return due.join(F.broadcast(merkle.root(leaves, merkle.SORTED))).select(  # one row with one row
+    return due.join(F.broadcast(merkle.root(leaves, tree))).select(  # one row with one row
         F.concat(F.lit("0x"), "root").alias("merkle_root"), "last_block_index", F.lit(tx_hash).alias("tx_hash"), F.lit(None).cast("long").alias("block_number"), F.lit(chain_id).cast("long").alias("chain_id"), F.lit(ts).cast("long").alias("anchored_at"), F.lit("pending").alias("status")
     )
 
@@ -77,7 +77,9 @@ def anchored(anchors: DataFrame, address: str, organization_id: str, name: str,
 
 
 def check_roots(leaves: DataFrame, anchors: DataFrame, tree: merkle.Tree = merkle.POSITIONAL) -> DataFrame:
-    """anchors(last_block_index, merkle_root) with the root of the blocks up to there and whether it is the anchor's."""
+    """anchors(last_block_index, merkle_root) with the root of the blocks up to there and whether it is the anchor's, whose hex digits may be of either
+    case and have 0x before them, as published ones have. Anchors that new_anchor made have the tree merkle.SORTED. An anchor without an
+    index or past the last block is not proven."""
     lengths = anchors.select((F.col("last_block_index") + 1).alias("length")).distinct()
     made = merkle.prefix_roots(leaves, lengths, tree).select((F.col("length") - 1).alias("last_block_index"), "root")
-    return anchors.join(made, "last_block_index", "left").withColumn("proven", F.coalesce(F.col("root") == F.col("merkle_root"), F.lit(False)))
+    return anchors.join(made, "last_block_index", "left").withColumn("proven", F.coalesce(unhex_prefixed(F.col("merkle_root")) == F.unhex("root"), F.lit(False)))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tallychain.functions.canonical import clean_json, jcs
 from tallychain.functions.hashing import keccak256, unhex_strict
 from tallychain.functions.text import per, type_label
-from tallychain.operators import anchors, audit, chain, lookups, merkle, registry, writes
+from tallychain.operators import anchors, audit, chain, frontier, lookups, merkle, registry, writes
 from tallychain.operators.numbering import numbered
 from tallychain.plans.sql import ORACLE
-from tallychain.session import shared_path
+from tallychain.session import shared_path, staged
 from tallychain.sources import tables as t
 
 MODEL = "m-8"
@@ -171,6 +171,36 @@ def anchor_proofs(s, d):
     return anchors.check_roots(leaves, t.rooted_anchors(s, d, true).select("last_block_index", "merkle_root"))
 
 
+#: The tree of published anchors with a hash that SQL has too.
+SORTED_SHA256 = merkle.Tree("sha256", True, False)
+
+
+def anchors_checked(s, d):
+    """Every anchor as it is published, with the root of its prefix after 0x except for one in t.WRONG_ROOT, against the roots of the leaves."""
+    leaves = _leaves(s, d)
+    true = merkle.prefix_roots(leaves, t.anchors(s, d).select((F.col("last_block_index") + 1).alias("length")), SORTED_SHA256)
+    published = t.rooted_anchors(s, d, true).select("last_block_index", F.upper("merkle_root").alias("merkle_root"))
+    return anchors.check_roots(leaves, published.withColumn("merkle_root", F.concat(F.lit("0x"), "merkle_root")), SORTED_SHA256)
+
+
+def frontier_root(s, d):
+    """The root after five batches of blocks, each of which extends the frontier of those before it."""
+    leaves = staged(_leaves(s, d), "leaves")
+    n, peaks = leaves.count(), {}
+    for lo, hi in zip(range(5), range(1, 6)):
+        peaks = frontier.extended(peaks, leaves.where((F.col("pos") >= n * lo // 5) & (F.col("pos") < n * hi // 5)), SORTED_SHA256)
+    rows = [(frontier.length(peaks), frontier.root(peaks, SORTED_SHA256).hex())] if peaks else []
+    return s.createDataFrame(rows, "n_leaves long, root string")
+
+
+def anchor_due(s, d):
+    """The anchor to append after the last block where the last three anchors are not yet made."""
+    blocks = t.stored(s, d)
+    made = t.anchors(s, d).where(F.col("last_block_index") <= blocks.agg(F.max("block_index")).first()[0] - 3 * t.ANCHOR_STEP)
+    new = anchors.new_anchor(blocks, made, leaves_of(blocks), "0xnew", t.GENESIS_TS, t.ANCHOR_STEP, tree=SORTED_SHA256)
+    return new.select("merkle_root", "last_block_index", "tx_hash", "chain_id", "anchored_at", "status")
+
+
 def inclusion_proofs(s, d):
     """For every block, how long its proof in the whole ledger's tree is and whether it leads to the root."""
     leaves = _leaves(s, d)
@@ -376,7 +406,7 @@ def queries() -> dict:
         merkle_root_sha256, merkle_root_sorted_pairs, merkle_root_keccak, prefix_roots, anchor_prefix_roots, anchor_proofs, inclusion_proofs, anchor_decision, anchors_page, anchors_pending, anchors_confirm, contract_events, events_by_address, events_by_org,
         inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, action_links_all, data_structure_keys,
         conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events, models_recent_all, register_models, log_inferences, verify_recleaned, genesis_exists, anchors_append, anchored_events,
-        provenance_report, stats_badges, events_from_args, requests_ingested,
+        provenance_report, stats_badges, events_from_args, requests_ingested, anchors_checked, frontier_root, anchor_due,
     ]
     return {f.__name__: f for f in own}
 

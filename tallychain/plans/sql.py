@@ -105,6 +105,16 @@ tree as (
 select cast(length as bigint) as length, level[1] as root from tree where len(level) = 1
 """
 
+#: The root over each anchor's prefix with pairs sorted and an odd last node moved up, beside the anchor.
+CHECKED = CHAIN + """,
+tree as (
+  select a.i, list(b.hash order by b.block_index) as level from requests a join blocks b on b.block_index <= a.i where a.i % 50 = 0 group by a.i
+  union all select i, list_transform(range(1, len(level) + 1, 2), lambda j: case when j + 1 <= len(level)
+    then sha256(unhex(least(level[j], level[j + 1])) || unhex(greatest(level[j], level[j + 1]))) else level[j] end) from tree where len(level) > 1)
+select cast(i as bigint) as last_block_index, '0x' || upper(case when (i // 50) % 20 = 0 then sha256('root:' || i) else level[1] end) as merkle_root, level[1] as root,
+  (i // 50) % 20 <> 0 as proven
+from tree where len(level) = 1
+"""
 #: Keccak-256 of 'org-7', a fixed value.
 ORG_7 = "0afbff16cff0a8240eebf3730a655a9b7d7debf6d7d8d3d6c21e328c9ab7d9ab"
 #: The acknowledgements of requests that are appended to an empty chain after its genesis block.
@@ -148,6 +158,9 @@ ORACLE = {
     "merkle_root_sha256": merkle(False),
     "merkle_root_sorted_pairs": merkle(True),
     "prefix_roots": PREFIXES,
+    "anchors_checked": CHECKED,
+    "frontier_root": merkle(True),
+    "anchor_due": "select '0x' || root as merkle_root, n_leaves - 1 as last_block_index, '0xnew' as tx_hash, cast(11155111 as bigint) as chain_id, cast(1700000000 as bigint) as anchored_at, 'pending' as status from (" + merkle(True) + ")",
     "anchor_decision": BASE + ANCHORS + ", x as (select (select max(i) from requests) as l, (select coalesce(max(last_block_index), -1) from anchors) as a) select l as last_block_index, a as last_anchored, l - a as new_blocks, l - a >= 20 as due, case when l - a < 20 then 'Not enough new blocks (' || (l - a) || '), wait for 20.' end as reason from x",
     "anchors_page": BASE + ANCHORS + "select * replace (cast(block_number as varchar) as block_number) from anchors order by last_block_index limit 10 offset 10",
     "anchors_pending": BASE + ANCHORS + "select * replace (cast(block_number as varchar) as block_number) from anchors where status = 'pending'",
