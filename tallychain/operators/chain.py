@@ -76,8 +76,10 @@ def has_genesis(blocks: DataFrame) -> DataFrame:
 
 def checked(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     """blocks with expected_hash (recomputed), before (the hash of the block before by position) and whether either is off. In mode `recleaned`
-    the payload is cleaned and encoded anew before it is hashed, as the second verifier does; else its stored text is hashed."""
-    out = with_previous(blocks, "block_index", "hash", "before", "hash")
+    the payload is cleaned and encoded anew before it is hashed, as the second verifier does; else its stored text is hashed. A block without an
+    index has no place in the chain, so its link is broken; it comes before no other block."""
+    placed = F.col("block_index").isNotNull()
+    out = with_previous(blocks, "block_index", "hash", "before", "hash").withColumn("before", F.when(placed, F.col("before")).otherwise(""))
     data = reader_json(F.col("data")) if mode == "recleaned" else F.col("data")
     out = out.withColumn("expected_hash", block_hash(F.col("block_index"), F.col("ts"), data, F.col("previous_hash")))
     bad = F.coalesce(F.col("hash") != F.col("expected_hash"), F.lit(True))
@@ -94,7 +96,7 @@ def errors(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     c = checked(blocks, mode)
     if mode != "writer":
         c = c.where(F.col("before").isNotNull()).withColumn("bad_hash", F.col("bad_hash") & ~F.col("broken_link"))
-    label = F.concat(F.lit("Block "), F.col("block_index").cast("string"))
+    label = F.concat(F.lit("Block "), F.coalesce(F.col("block_index").cast("string"), F.lit("without index")))
     wrong = F.struct(F.lit(1).alias("kind"), F.concat(label, F.lit(": Hash mismatch")).alias("message"))
     text = F.concat(label, F.lit(": Hashchain broken ! (previousHash: "), short(F.coalesce("previous_hash", F.lit(""))), F.lit("..., expected: "), short(F.coalesce("before", F.lit(""))), F.lit("...)"))
     link = F.struct(F.lit(2).alias("kind"), text.alias("message"))

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 SPAN = 1 << 16
 
 
+#: The range of rows without a key: after all others.
+LAST = 1 << 62
+
+
 def _range(key: str, span: int) -> Column:
-    return F.floor(F.col(key) / F.lit(span)).cast("long")
+    return F.coalesce(F.floor(F.col(key) / F.lit(span)).cast("long"), F.lit(LAST).cast("long"))
 
 
 def _earlier(counts: DataFrame, span: int) -> DataFrame:
@@ -26,7 +30,7 @@ def _earlier(counts: DataFrame, span: int) -> DataFrame:
 
 def numbered(df: DataFrame, key: str, name: str, start: int = 0, tie: str | None = None, span: int = SPAN) -> DataFrame:
     """df with each row's position by key (then tie). Ranges of keys are counted first; a row's position is the count of the ranges
-    before its own and its place there. Only one row for each span * span keys meets in one task."""
+    before its own and its place there. Only one row for each span * span keys meets in one task. Rows with a null key come last, in order of tie."""
     ranged = df.withColumn("__range", _range(key, span))
     counts = _earlier(ranged.groupBy("__range").agg(F.count("*").alias("n")), span)
     within = Window.partitionBy("__range").orderBy(key, *([tie] if tie else []))
@@ -40,7 +44,8 @@ def _lagged(ends: DataFrame, by: list, key: str) -> DataFrame:
 
 def with_previous(df: DataFrame, key: str, value: str, name: str, tie: str, span: int = SPAN) -> DataFrame:
     """df with the value of the row before by (key, tie); null for the first. Inside a range of keys it is a lag; the first row of a range
-    takes the last value of the nearest range before it that has rows, and the first range of a span of ranges that of the span before."""
+    takes the last value of the nearest range before it that has rows, and the first range of a span of ranges that of the span before.
+    Rows with a null key come last, in order of tie."""
     ranged = df.withColumn("__range", _range(key, span))
     last = lambda *by: F.max(F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(by)], F.col("__v").alias("v"))).getField("v").alias("__v")
     ends = ranged.withColumn("__v", F.struct(value)).groupBy("__range").agg(last(key, tie)).withColumn("__super", _range("__range", span))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallychain.functions.canonical import payload_json
 from tallychain.operators import chain, registry
+from tallychain.operators.numbering import numbered
 from tallychain.session import staged
 
 
@@ -33,14 +34,14 @@ def _told(accepted: DataFrame, blocks: DataFrame, refused: DataFrame, columns: l
     return good.unionByName(bad)
 
 
-def _appended(blocks: DataFrame, accepted: DataFrame, genesis_ts: int | None) -> tuple[DataFrame, DataFrame]:
-    """The new blocks, and accepted with the index of each row's block."""
-    from tallychain.operators.numbering import numbered
-
-    new = staged(chain.append(blocks, accepted.select("ord", "ts", "data"), genesis_ts), "appended")
-    first = new.agg(F.min("block_index"), F.max("block_index")).first()
-    start = 0 if first[0] is None else first[1] + 1 - accepted.count()
-    return new, numbered(accepted, "ord", "block_index", start)
+def _appended(blocks: DataFrame, judged: DataFrame, genesis_ts: int | None) -> tuple[DataFrame, DataFrame]:
+    """The new blocks, and the accepted ones of judged with the index of each row's block. Rows are numbered once, so that those of one ord, or of none,
+    which come last, have the blocks that they are told of; they are put in order of their payload."""
+    accepted = staged(numbered(judged.where("reason is null"), "ord", "place", 0, "data"), "accepted")
+    new = staged(chain.append(blocks, accepted.select(F.col("place").alias("ord"), "ts", "data"), genesis_ts), "appended")
+    last = new.agg(F.max("block_index")).first()[0]
+    start = 0 if last is None else last + 1 - accepted.count()
+    return new, accepted.withColumn("block_index", F.col("place") + start).drop("place")
 
 
 def register_models(blocks: DataFrame, models: DataFrame, requests: DataFrame, genesis_ts: int | None = None) -> Written:
@@ -49,7 +50,7 @@ def register_models(blocks: DataFrame, models: DataFrame, requests: DataFrame, g
     asked = staged(prepared(requests, F.col("payload")), "asked")
     judged = registry.registrations(asked.where("data is not null"), models, "ord")
     judged = staged(judged.unionByName(asked.where("data is null").withColumn("reason", F.lit("no payload"))), "judged")
-    new, accepted = _appended(blocks, judged.where("reason is null"), genesis_ts)
+    new, accepted = _appended(blocks, judged, genesis_ts)
     rows = accepted.select("model_id", "name", "version", F.col("ts").alias("created_at"))
     return Written(new, rows, _told(accepted, new, judged.where("reason is not null"), ["ord", "model_id", "name", "version"]))
 
@@ -60,5 +61,5 @@ def log_inferences(blocks: DataFrame, models: DataFrame, requests: DataFrame, ge
     missing = F.concat(F.lit("Model ID "), F.coalesce("model_id", F.lit("null")), F.lit(" does not exist"))
     judged = prepared(requests, F.col("payload")).join(known, "model_id", "left")
     judged = staged(judged.withColumn("reason", F.when(F.col("known").isNull(), missing).when(F.col("data").isNull(), "no payload")).drop("known"), "judged")
-    new, accepted = _appended(blocks, judged.where("reason is null"), genesis_ts)
+    new, accepted = _appended(blocks, judged, genesis_ts)
     return Written(new, None, _told(accepted, new, judged.where("reason is not null"), ["ord", "model_id", "inference_id"]))
