@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tallychain.functions.canonical import clean_json, jcs
 from tallychain.functions.hashing import keccak256, unhex_strict
 from tallychain.functions.text import per, type_label
-from tallychain.operators import anchors, audit, chain, frontier, lookups, merkle, registry, writes
+from tallychain.operators import anchors, audit, chain, frontier, hash_index, lookups, merkle, registry, writes
 from tallychain.operators.numbering import numbered
 from tallychain.plans.sql import ORACLE
 from tallychain.session import shared_path, staged
+from tallychain.sources import logs
 from tallychain.sources import tables as t
+from tallychain.streaming import event_time, keyed
 
 MODEL = "m-8"
 
@@ -399,6 +401,60 @@ def generated_events(s, d):
     return t.generated_events(s, 1000, 7)
 
 
+def block_by_hash_indexed(s, d):
+    """block_by_hash over blocks laid out by ranges of the index, through an index of hashes."""
+    blocks, index = shared_path(s, "blocks"), shared_path(s, "hashes")
+    t.write_blocks(t.ledger(s, d), blocks)
+    stored = t.read_blocks(s, blocks)
+    hash_index.write(stored, index)
+    wanted = stored.where("block_index = 42").select("hash").first()
+    return _own(hash_index.by_hash(stored, index, wanted.hash if wanted else ""))
+
+
+def contract_events_source(s, d):
+    """contract_events, exported as a node's logs and read back through the data source of logs."""
+    path = shared_path(s, "node")
+    e = t.anchor_events(s, d)
+    args = F.when(F.col("technical_address").isNotNull(), F.array("technical_address", "merkle_root", "organization_id", "organization_name", "domain", F.col("ts").cast("string")))
+    logs.export_logs(e.select(F.col("event_no").alias("block_number"), F.lit(0).cast("long").alias("log_index"), args.alias("args")), path)
+    s.dataSource.register(logs.ContractLogs)
+    return _text(anchors.from_args(s.read.format("contract_logs").option("path", path).load()).withColumnRenamed("block_number", "event_no").drop("log_index"), "ts")
+
+
+def events_by_hour(s, d):
+    """Agents' events through a stream that puts those of the future aside, counted by hour and action."""
+    path = shared_path(s, "events")
+    rows = t.agent_events(s, d).select("event_id", "action_type", "ts")
+    rows.write.parquet(f"{path}/in")
+    event_time.divided(s.readStream.schema(rows.schema).parquet(f"{path}/in"), path, f"{path}/checkpoint", 2_000_000_000).awaitTermination()
+    return event_time.windowed_counts(s.read.parquet(f"{path}/accepted"), ["action_type"])
+
+
+def keyed_heads_streamed(s, d):
+    """per_model_heads by a stream that keeps each model's tip as state."""
+    path = shared_path(s, "keyed")
+    rows = t.requests(s, d).select("model_id", "block_index", "ts", "data")
+    rows.write.parquet(f"{path}/in")
+    before = {k: s.conf.get(k, None) for k in keyed.STATE_STORE}
+    try:
+        for k, v in keyed.STATE_STORE.items():
+            s.conf.set(k, v)
+        made = keyed.keyed_chains(s.readStream.schema(rows.schema).parquet(f"{path}/in"), "model_id")
+        made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            s.conf.set(k, v) if v else s.conf.unset(k)
+    return s.read.parquet(f"{path}/out").groupBy("model_id").agg(F.count("*").alias("blocks"), F.max_by("hash", "block_index").alias("head"))
+
+
+def anchors_confirm_within(s, d):
+    """Anchors with receipts that are mined up to a day after them; every fourth receipt is later."""
+    a = t.anchors(s, d)
+    n = (F.col("last_block_index") / t.ANCHOR_STEP).cast("long")
+    mined = t.receipts(s, d).join(a.select("tx_hash", (F.col("anchored_at") + n % 4 * 43200).alias("mined_at")), "tx_hash")
+    return _text(event_time.confirmations(a, mined), "block_number")
+
+
 def queries() -> dict:
     own = [
         ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
@@ -407,6 +463,7 @@ def queries() -> dict:
         inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, action_links_all, data_structure_keys,
         conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events, models_recent_all, register_models, log_inferences, verify_recleaned, genesis_exists, anchors_append, anchored_events,
         provenance_report, stats_badges, events_from_args, requests_ingested, anchors_checked, frontier_root, anchor_due,
+        block_by_hash_indexed, contract_events_source, events_by_hour, keyed_heads_streamed, anchors_confirm_within,
     ]
     return {f.__name__: f for f in own}
 

@@ -13,6 +13,7 @@ from tallychain.session import shared_path
 #: The derived ledger's first timestamp, how far its anchors lie apart, and which of them have a wrong root (one in so many).
 GENESIS_TS, ANCHOR_STEP, WRONG_ROOT = 1700000000, 50, 20
 
+BLOCK_COLUMNS = "block_index long, ts long, data string, previous_hash string, hash string, type string, model_id string, version string, inference_id string, input_hash string, output_hash string, params string, metadata string, index_range long"
 MODEL_REQUEST = "modelId string, modelName string, version string, modelPath string, params string, metrics map<string, double>, metadata string, mlflow struct<modelHash: string, gitCommit: string>"
 INFERENCE_REQUEST = "modelId string, inferenceId string, inputHash string, outputHash string, params string, metadata string"
 
@@ -170,7 +171,17 @@ def write_chain(folded: DataFrame, per_file: int = 1 << 18) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def write_blocks(blocks: DataFrame, path: str, mode: str = "append", per_file: int = 1 << 20) -> None:
-    """Append blocks as Parquet, with the payload's fields beside it, sorted so that an index prunes row groups and files."""
-    rows = promoted(blocks).withColumn("index_range", F.floor(F.col("block_index") / per_file).cast("long"))
+#: Indices of one folder of stored blocks.
+PER_RANGE = 1 << 20
+
+
+def write_blocks(blocks: DataFrame, path: str, mode: str = "append", per_range: int | None = None) -> None:
+    """Append blocks as Parquet, with the payload's fields beside it: a folder for each range of the index, sorted in it, so that an index reads one
+    folder and few of its row groups."""
+    rows = promoted(blocks).withColumn("index_range", F.floor(F.col("block_index") / (per_range or PER_RANGE)).cast("long"))
     rows.repartitionByRange("block_index").sortWithinPartitions("block_index").write.mode(mode).option("parquet.bloom.filter.enabled#hash", "true").partitionBy("index_range").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks that write_blocks wrote, with index_range."""
+    return spark.read.schema(BLOCK_COLUMNS).parquet(path)

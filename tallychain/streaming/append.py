@@ -31,7 +31,7 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, then: Callable[[D
     def one(batch: DataFrame, number: int) -> None:
         if now is not None:
             batch = batch.where(F.col("ts") <= now)
-        before = _read(spark, f"{path}-tip", f"{TIP}, batch_id long").where(F.col("batch_id") == number - 1).select("block_index", "hash")
+        before = read_written(spark, f"{path}-tip", f"{TIP}, batch_id long").where(F.col("batch_id") == number - 1).select("block_index", "hash")
         chain.append(before, batch).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
         own = read_chain(spark, path).where(F.col("batch_id") == number).select("block_index", "hash")
         tip = before.union(own).agg(F.max(F.struct("block_index", "hash")).alias("t")).where("t is not null").select("t.*")
@@ -45,10 +45,10 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, then: Callable[[D
 def read_chain(spark, path: str) -> DataFrame:
     """The chain's blocks with their batch; empty before the first batch."""
     schema = f"{chain.BLOCKS}, batch_id long"
-    return _read(spark, path, schema)
+    return read_written(spark, path, schema)
 
 
-def _read(spark, path: str, schema: str) -> DataFrame:
+def read_written(spark, path: str, schema: str) -> DataFrame:
     """What is written under path; empty before anything is."""
     try:
         return spark.read.schema(schema).option("basePath", path).parquet(path)
@@ -67,7 +67,7 @@ def anchoring(path: str, send: Callable[[str], str], step: int = 50, now: Callab
 
     def then(blocks: DataFrame, number: int) -> None:
         spark = blocks.sparkSession
-        of = lambda folder, schema, batch: _read(spark, folder, f"{schema}, batch_id long").where(batch)
+        of = lambda folder, schema, batch: read_written(spark, folder, f"{schema}, batch_id long").where(batch)
         before = frontier.taken(of(f"{path}-frontier", frontier.NODES, F.col("batch_id") == number - 1).collect())
         own = blocks.where(F.col("batch_id") == number).select(F.col("block_index").alias("pos"), unhex_strict(F.col("hash")).alias("leaf"))
         peaks = frontier.extended(before, own, tree)
@@ -87,7 +87,7 @@ def confirm_stream(receipts: DataFrame, start: DataFrame, path: str, checkpoint:
     spark = receipts.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        now = _read(spark, path, f"{ANCHORS}, batch_id long").where(F.col("batch_id") == number - 1).drop("batch_id")
+        now = read_written(spark, path, f"{ANCHORS}, batch_id long").where(F.col("batch_id") == number - 1).drop("batch_id")
         anchors.confirm(start.select(*now.columns) if now.isEmpty() else now, batch).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
     writer = receipts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
