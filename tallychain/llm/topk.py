@@ -4,36 +4,49 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallychain.llm.common import bounded_batches, staged
 
-#: Rows of a block of candidates, blocks that a cell of the grid takes, and the least and most queries of a batch.
-BLOCK_ROWS, CELL_BLOCKS, BATCH_LEAST, BATCH_MOST = 4096, 4, 256, 8192
+#: Rows and components of a block of candidates at most, blocks that a cell of the grid takes, and the least and most queries of a batch.
+BLOCK_ROWS, BLOCK_CELLS, CELL_BLOCKS, BATCH_LEAST, BATCH_MOST = 4096, 4096 * 64, 4, 256, 8192
 #: Queries whose bounds are held at once, and the shares of the lists after which bounds are taken.
 AT_ONCE, SHARES = 256, (0.25, 0.5, 0.65, 0.8)
-#: Below this, sums of whole numbers in doubles are exact; scaled components from MOST on leave a score's decimal(38, 0).
+#: Below this, sums of whole numbers in doubles are exact; bounds of components from MOST on are taken of all of them divided by a power of two.
 EXACT, MOST = 2.0**53, 2.0**56
+#: Digits of the scores that a decimal holds.
+DIGITS = 38
 #: Components whose signs make a vector's direction.
 SIGNS = 16
 
 
 def quantized(rows: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v: array<double> of whole numbers), v = floor(scale * x), whatever their size. Null and empty vectors and those with null or
-    non-finite components are left out; a scaled component of MOST or more is an error, as its scores have no exact type."""
+    non-finite components are left out, and those with a component whose product with scale is beyond all doubles (from about 7e305 on)."""
     x = F.col(vector_col).cast("array<double>")
-    good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
     y = lambda c: c * F.lit(float(scale))
-    whole = F.transform(x, lambda c: F.when(F.abs(y(c)) < MOST, F.floor(y(c)).cast("double")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("double")))
+    good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(F.abs(y(c)) < float("inf"), F.lit(False)))
+    # a double from 2 ** 53 on is whole
+    whole = F.transform(x, lambda c: F.when(F.abs(y(c)) < EXACT, F.floor(y(c)).cast("double")).otherwise(y(c)))
     return rows.where(good).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
+def ordered_text(x: int) -> str:
+    """Digits whose order as texts is that of the numbers."""
+    digits = str(abs(x))
+    if x >= 0:
+        return f"1{len(digits):06d}{digits}"
+    return f"0{999_999 - len(digits):06d}" + digits.translate(NINES)
+
+
+NINES = str.maketrans("0123456789", "9876543210")
+
+
 def packed(vectors: list[np.ndarray]) -> tuple[int, str, bytes, np.ndarray]:
     """(dims, type, bytes, matrix) of whole-number vectors in the smallest integer type that holds them, shorter ones filled up with zeros."""
     dims = max(map(len, vectors))
@@ -41,7 +54,7 @@ def packed(vectors: list[np.ndarray]) -> tuple[int, str, bytes, np.ndarray]:
     for n, v in enumerate(vectors):
         x[n, : len(v)] = v
     most = np.abs(x).max(initial=0)
-    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8" if most < 1 << 53 else "<f8"
     return dims, kind, x.astype(kind).tobytes(), x
 
 
@@ -50,7 +63,7 @@ def blocks(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     each dimension its rows in rising order of their component, made once and read by every batch of queries."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, wide = TaskContext.get().partitionId(), 0, 1
         ids: list[int] = []
         held: list[np.ndarray] = []
 
@@ -68,8 +81,10 @@ def blocks(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
             for i, v in zip(pdf["vec_id"], pdf["v"]):
                 ids.append(i)
                 held.append(v)
-                if len(ids) >= rows:
+                wide = max(wide, len(v))
+                if len(ids) >= min(rows, max(1, BLOCK_CELLS // wide)):
                     yield out()
+                    wide = 1
         if ids:
             yield out()
 
@@ -82,10 +97,14 @@ class SortedLists:
     Reading goes down the lists from both ends: queries with a positive component take the upper end, those with a negative one the
     lower. What is read so far is kept as two matrices, with the bound of what is not read in the open places, so that a product with
     the queries' positive and negative parts gives the bounds of all scores.
+
+    down: the power of two that data and queries are divided by in the lists and in all bounds, so that these stay finite; exact scores are of
+    the whole numbers.
     """
 
-    def __init__(self, data: np.ndarray, lists: np.ndarray | None = None) -> None:
-        self.data = np.asarray(data, np.float64)
+    def __init__(self, data: np.ndarray, lists: np.ndarray | None = None, down: int = 0) -> None:
+        self.whole, self.down = np.asarray(data, np.float64), down
+        self.data = np.ldexp(self.whole, -down) if down else self.whole
         self.rows = np.argsort(self.data, axis=0, kind="stable").T if lists is None else lists.astype(np.intp)
         self.values = np.take_along_axis(self.data, self.rows.T, axis=0).T
         self.low, self.high = self.values[:, 0], self.values[:, -1]
@@ -104,7 +123,11 @@ class SortedLists:
 
     def slack(self, q: np.ndarray) -> np.ndarray:
         """More than rounding can change a bound by."""
-        return 1e-12 * q.shape[1] * self.size(q) + 1e-6
+        return 1e-12 * q.shape[1] * self.size(q) + (1e-300 if self.down else 1e-6)
+
+    def exact(self, q: np.ndarray) -> np.ndarray:
+        """Whether all sums of a query's score stay exact in doubles."""
+        return self.size(q) < math.ldexp(EXACT, -2 * self.down)
 
     def read(self, depth: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
         """The lists read to a depth from the upper and from the lower end; open places hold the best or the worst that they can."""
@@ -157,8 +180,8 @@ class SortedLists:
         return alive
 
     def scores(self, q: np.ndarray, rows: np.ndarray, exact: bool) -> list[int] | np.ndarray:
-        """Exact scores: in doubles where all sums stay exact, else as Python integers."""
-        x = self.data[rows, : len(q)]
+        """Exact scores of a query of whole numbers: in doubles where all sums stay exact, else as Python integers."""
+        x = self.whole[rows, : len(q)]
         if exact:
             return x @ q
         whole = [int(c) for c in q]
@@ -168,43 +191,45 @@ class SortedLists:
         """Rows that qualify for one query, with their exact scores."""
         q = np.asarray(q, np.float64)
         rows = self.qualify(q[None], k, np.array([floor]), skip[None])[0]
-        return rows, np.array(self.scores(q, rows, bool(self.size(q[None])[0] < EXACT)), object).astype(np.int64)
+        return rows, np.array(self.scores(q, rows, bool(self.exact(q[None])[0])), object).astype(np.int64)
 
 
 class Batch:
     """A batch of queries with the k best rows found so far for each."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, down: int = 0) -> None:
+        self.ids, self.whole, self.k, self.unit = ids, q, k, 1 << 2 * down
+        self.q = np.ldexp(q, -down) if down else q
         self.found: list[list[tuple]] = [[] for _ in ids]  # (-score, id), best first
         self.floors = np.full(len(ids), -np.inf)
 
     def search(self, ids: np.ndarray, lists: SortedLists) -> None:
         d = min(self.q.shape[1], lists.data.shape[1])  # a shorter vector has zeros in the other places
         q = self.q[:, :d]
-        ceiling, exact = lists.ceiling(q), lists.size(q) < EXACT
+        ceiling, exact = lists.ceiling(q), lists.exact(q)
         ahead = np.flatnonzero(ceiling >= self.floors)
         ahead = ahead[np.argsort(-ceiling[ahead], kind="stable")]
         for at in range(0, len(ahead), AT_ONCE):
             some = ahead[at : at + AT_ONCE]
             skip = ids[None, :] == self.ids[some, None]
             for i, rows in zip(some, lists.qualify(q[some], self.k, self.floors[some], skip)):
-                scores = lists.scores(q[i], rows, exact[i])
+                scores = lists.scores(self.whole[i, :d], rows, exact[i])
                 if len(rows) > 8 * self.k:  # all that can be among the k best, ties with the last included
-                    order = np.array(scores, np.float64)
+                    order = np.array([int(s) / self.unit for s in scores]) if self.unit > 1 else np.array(scores, np.float64)
                     near = order >= np.partition(order, len(order) - self.k)[len(order) - self.k] - 1e-9 * np.abs(order).max()
                     rows, scores = rows[near], [s for s, x in zip(scores, near) if x]
                 self.found[i] = sorted([*self.found[i], *((-int(s), int(c)) for s, c in zip(scores, ids[rows]))])[: self.k]
                 if len(self.found[i]) >= self.k:
-                    self.floors[i] = float(-self.found[i][-1][0])
+                    self.floors[i] = -self.found[i][-1][0] / self.unit
 
     def rows(self) -> pd.DataFrame:
-        out = [(int(q), c, Decimal(-s)) for q, best in zip(self.ids, self.found) for s, c in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        out = [(int(q), c, ordered_text(-s), str(-s)) for q, best in zip(self.ids, self.found) for s, c in best]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "by", "digits"])
 
 
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score: decimal(38, 0)): each query's k best rows by integer inner product, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score: decimal(38, 0), digits): each query's k best rows by integer inner product, ties to the smaller vec_id. digits is
+    the score as text, of any length; score is null where it has more than 38.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's own id. A shorter vector counts as zero in
     the places it lacks. All scores are exact, of any size. Rows that repeat an id as a candidate are each ranked; a query id that repeats
@@ -219,6 +244,8 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col
     bounded_batches(spark)
     vectors = quantized(rows, scale, id_col, vector_col)
     sign = F.aggregate(F.slice("v", 1, SIGNS), F.lit(0), lambda a, c: a * 2 + (c >= 0).cast("int"))
+    most = vectors.select(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    down = math.frexp(most)[1] if most >= MOST else 0
     candidates = staged(blocks(vectors.withColumn("sign", sign).repartitionByRange("sign", "vec_id").sortWithinPartitions("sign", "vec_id").select("vec_id", "v")), "candidates")
     first = Window.partitionBy("vec_id").orderBy("v")
     asked = vectors.where(F.col("vec_id") % every == 0).withColumn("nth", F.row_number().over(first)).where("nth = 1")
@@ -246,17 +273,24 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col
                     now, cell = None, (r.batch, r.slice)
                 if r.block < 0:
                     ids = np.array([x["vec_id"] for x in r.queries], np.int64)
-                    now = Batch(ids, packed([np.asarray(x["v"], np.float64) for x in r.queries])[3], k)
+                    now = Batch(ids, packed([np.asarray(x["v"], np.float64) for x in r.queries])[3], k, down)
                 elif now is not None:
                     ids = np.frombuffer(r.ids, "<i8")
                     data = np.frombuffer(r.data, r.kind).reshape(len(ids), int(r.dims))
-                    now.search(ids, SortedLists(data, np.frombuffer(r.lists, "<u2").reshape(int(r.dims), len(ids))))
+                    now.search(ids, SortedLists(data, np.frombuffer(r.lists, "<u2").reshape(int(r.dims), len(ids)), down))
         if now is not None:
             yield now.rows()
 
-    found = cells.mapInPandas(search, "query_id long, vec_id long, score decimal(38,0)")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = cells.mapInPandas(search, "query_id long, vec_id long, by string, digits string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("by"), "vec_id"))
+    score = F.when(F.length("digits") <= DIGITS, F.col("digits").try_cast(f"decimal({DIGITS},0)"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"), "digits")
+
+
+def as_long(score: Column, digits: Column) -> Column:
+    """A score as a long; one beyond all longs is the nearest of them."""
+    far = F.when(digits.startswith("-"), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit((1 << 63) - 1).cast("long"))
+    return F.coalesce(score.try_cast("long"), far)
 
 
 TOP_K_SQL = """
