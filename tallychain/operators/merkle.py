@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallychain.functions.hashing import keccak256_many, sha256_many
+from tallychain.session import staged
 
 #: Levels that one task reduces: subtrees of 2 ** 12 leaves.
 LEVELS = 12
@@ -95,7 +96,7 @@ def complete_nodes(leaves: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
     found = now
     while most > 1:
         run = (F.col("pos") / F.lit(1 << LEVELS)).cast("long")
-        made = now.groupBy(run.alias("run")).applyInPandas(climb, "level int, pos long, node binary")
+        made = staged(now.groupBy(run.alias("run")).applyInPandas(climb, "level int, pos long, node binary"), "nodes")
         found, level, most = found.union(made), level + LEVELS, most >> LEVELS
         now = made.where(F.col("level") == level)
     return found
@@ -132,7 +133,7 @@ def prefix_roots(leaves: DataFrame, lengths: DataFrame, tree: Tree = POSITIONAL)
     All prefixes share one pass over the leaves: each then looks up its last leaf and, on every level with an even number of nodes, the
     node before its last one, so a prefix costs as many rows as its tree has levels.
     """
-    made = _spines(complete_nodes(leaves, tree), lengths, tree)
+    made = _spines(complete_nodes(staged(leaves.select("pos", "leaf"), "leaves"), tree), lengths, tree)
     return made.select("length", F.lower(F.hex(F.element_at("spine", -1))).alias("root"))
 
 
@@ -142,9 +143,10 @@ def inclusion_proofs(leaves: DataFrame, asked: DataFrame, tree: Tree = POSITIONA
 
     A sibling before its level's last node is a complete node, met by a join of the asked positions; the last node is the prefix's own.
     """
+    leaves = staged(leaves.select("pos", "leaf"), "leaves")
     nodes = complete_nodes(leaves, tree)
     wanted = asked.select(F.col("length").cast("long").alias("length"), F.col("pos").cast("long").alias("pos")).where("pos >= 0 and pos < length").distinct()
-    spines = _spines(nodes, wanted.select("length"), tree)
+    spines = staged(_spines(nodes, wanted.select("length"), tree), "spines")
     steps = wanted.select("length", "pos", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")).withColumn("width", F.expr(WIDTH)).where("width > 1")
     steps = steps.withColumn("other", F.expr("shiftright(pos, level)").bitwiseXOR(F.lit(1).cast("long")))
     inner = steps.where("other < width - 1").join(nodes.withColumnRenamed("pos", "other"), ["level", "other"]).select("length", "pos", F.struct("level", F.expr("shiftright(pos, level) % 2 = 1").alias("on_left"), "node").alias("s"))

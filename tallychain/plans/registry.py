@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallychain.functions.canonical import clean_json, jcs
 from tallychain.functions.hashing import keccak256, unhex_strict
 from tallychain.functions.text import per, type_label
-from tallychain.operators import anchors, audit, chain, frontier, hash_index, lookups, merkle, registry, writes
+from tallychain.operators import anchors, audit, chain, frontier, hash_index, lookups, merkle, registry, verification, writes
 from tallychain.operators.numbering import numbered
 from tallychain.plans.sql import ORACLE
 from tallychain.session import shared_path, staged
@@ -455,6 +455,15 @@ def anchors_confirm_within(s, d):
     return _text(event_time.confirmations(a, mined), "block_number")
 
 
+def verify_continued(s, d):
+    """verify_tampered in three runs, each of which reads the blocks after those of the run before it."""
+    blocks, path = t.tampered(t.stored(s, d)), shared_path(s, "checkpoints")
+    last = blocks.agg(F.max("block_index")).first()[0]
+    for part in (1, 2):
+        verification.verify_on(blocks.where(F.col("block_index") <= last * part // 3), path)
+    return verification.verify_on(blocks, path).drop("rewritten")
+
+
 def queries() -> dict:
     own = [
         ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
@@ -463,7 +472,7 @@ def queries() -> dict:
         inference_accept, inference_reject, registration_unique, models_update, models_delete, model_provenance_join, drift_detect, suspicious_agents, weird_cases, unknown_models, action_links, action_links_all, data_structure_keys,
         conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events, models_recent_all, register_models, log_inferences, verify_recleaned, genesis_exists, anchors_append, anchored_events,
         provenance_report, stats_badges, events_from_args, requests_ingested, anchors_checked, frontier_root, anchor_due,
-        block_by_hash_indexed, contract_events_source, events_by_hour, keyed_heads_streamed, anchors_confirm_within,
+        block_by_hash_indexed, contract_events_source, events_by_hour, keyed_heads_streamed, anchors_confirm_within, verify_continued,
     ]
     return {f.__name__: f for f in own}
 

@@ -204,6 +204,7 @@ ORACLE = {
 }
 ORACLE |= {
     "block_by_hash_indexed": ORACLE["block_by_hash"],
+    "verify_continued": ORACLE["verify_tampered"],
     "contract_events_source": ORACLE["contract_events"],
     "events_by_hour": "with " + AGENTS + "select ts // 3600 * 3600 as start, action_type, count(*) as events from (select a.*, e.event_type as action_type from agents a join events e using (event_id)) where ts <= 2000000000 group by 1, 2",
     "keyed_heads_streamed": ORACLE["per_model_heads"],
