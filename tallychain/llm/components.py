@@ -1,42 +1,5 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from tallychain.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tallychain.llm.common import staged
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges(u, v: long) -> (node, root): each node that has an edge to another, with the least node it reaches.
-
-    Self-loops and repeated edges don't matter; an empty table gives an empty table. Each round is a written table in the shared
-    folder, so the lineage stays short.
-    """
-    hi, lo = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    now = staged(edges.where("u <> v").select(hi, lo).distinct(), name)
-    mark = _mark(now)
-    while mark[0]:
-        now = staged(_small_star(_large_star(now)), name)
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+__all__ = ["components"]
