@@ -21,7 +21,7 @@ def files_read(df):
     return rows, total
 
 
-@pytest.mark.parametrize("batches", [1, 4])
+@pytest.mark.parametrize("batches", [4])
 def test_a_lookup_reads_one_bucket_and_one_range(spark, tmp_path, monkeypatch, batches):
     monkeypatch.setattr(tables, "PER_RANGE", 100)
     monkeypatch.setattr(hash_index, "DIGITS", 1)
