@@ -80,11 +80,15 @@ def last_anchor(anchors: DataFrame, explorer: str = "https://explorer.invalid/tx
 
 def stats(promoted: DataFrame, anchors: DataFrame) -> DataFrame:
     """One row of the ledger's figures; models without the genesis one, zeros and blanks for an empty ledger."""
-    a = promoted.agg(F.count("*").alias("total_blocks"), (F.countDistinct("model_id") - 1).alias("total_models"), F.max(F.struct("block_index", "hash", "ts")).alias("t"))
+    a = promoted.agg(F.count("*").alias("total_blocks"), F.greatest(F.countDistinct("model_id") - 1, F.lit(0).cast("long")).alias("total_models"), F.max(F.struct("block_index", "hash", "ts")).alias("t"))
     own = a.select("total_blocks", "total_models", F.coalesce("t.block_index", F.lit(0)).alias("last_block_index"), F.coalesce("t.hash", F.lit("")).alias("last_block_hash"), iso(F.col("t.ts")).alias("last_block_timestamp"), F.coalesce("t.ts", F.lit(0)).alias("last_block_timestamp_unix"))
     v = chain.verify(promoted).select(F.col("is_valid").alias("chain_valid"), (F.col("bad_hash") + F.col("broken_links")).alias("error_count"))
-    last = last_anchor(anchors).select(F.col("last_block_index").alias("anchor_block_index"), F.col("tx_hash").alias("anchor_tx_hash"), F.col("status").alias("anchor_status"), F.col("explorer_url").alias("anchor_url"))
-    return own.join(F.broadcast(v)).join(F.broadcast(last), F.lit(True), "left")  # one row each
+    return own.join(F.broadcast(v)).join(F.broadcast(anchor_columns(anchors)), F.lit(True), "left")  # one row each
+
+
+def anchor_columns(anchors: DataFrame) -> DataFrame:
+    """The last anchor's columns of stats."""
+    return last_anchor(anchors).select(F.col("last_block_index").alias("anchor_block_index"), F.col("tx_hash").alias("anchor_tx_hash"), F.col("status").alias("anchor_status"), F.col("explorer_url").alias("anchor_url"))
 
 
 def per_model(promoted: DataFrame) -> DataFrame:

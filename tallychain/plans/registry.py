@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tallychain.functions.canonical import clean_json, jcs
 from tallychain.functions.hashing import keccak256, unhex_strict
 from tallychain.functions.text import per, type_label
-from tallychain.operators import anchors, audit, chain, frontier, hash_index, lookups, merkle, registry, verification, writes
+from tallychain.operators import anchors, audit, chain, frontier, hash_index, lookups, maintained, merkle, registry, verification, writes
 from tallychain.operators.numbering import numbered
 from tallychain.plans.sql import ORACLE
 from tallychain.session import shared_path, staged
-from tallychain.sources import logs
+from tallychain.sources import buckets, logs
 from tallychain.sources import tables as t
 from tallychain.streaming import event_time, keyed
+from tallychain.streaming.append import ANCHORS
 
 MODEL = "m-8"
 
@@ -464,6 +465,51 @@ def verify_continued(s, d):
     return verification.verify_on(blocks, path).drop("rewritten")
 
 
+def _kept(s: SparkSession, d: str) -> str:
+    """The statistics of the ledger, kept over four batches."""
+    blocks, path = t.stored(s, d), shared_path(s, "statistics")
+    last = blocks.agg(F.max("block_index")).first()[0]
+    edges = [0, *(last * k // 4 for k in (1, 2, 3)), last + 1]
+    for number, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        maintained.fold_batch(blocks.where((F.col("block_index") >= lo) & (F.col("block_index") < hi)), path, number)
+    return path
+
+
+def stats_maintained(s, d):
+    """chain_stats from sums that each batch of blocks adds to."""
+    return maintained.stats(s, _kept(s, d), t.anchors(s, d))
+
+
+def blocks_per_model_maintained(s, d):
+    """blocks_per_model from sums that each batch of blocks adds to."""
+    return maintained.per_model(s, _kept(s, d))
+
+
+def models_update_stored(s, d):
+    """models_update of a stored table: the folders of the named models are rewritten."""
+    m, path = t.models(s, d), shared_path(s, "models")
+    buckets.write(m, path, "model_id")
+    buckets.update_models(s, path, m.where("version = '1.0.1'").select("model_id", "version", F.concat("name", F.lit("-first")).alias("new_name")))
+    return buckets.read(s, path, buckets.MODELS)
+
+
+def models_delete_stored(s, d):
+    """models_delete of a stored table."""
+    m, path = t.models(s, d), shared_path(s, "models")
+    buckets.write(m, path, "model_id")
+    buckets.delete_models(s, path, m.where("version = '1.0.9'"))
+    return buckets.read(s, path, buckets.MODELS)
+
+
+def anchors_confirm_stored(s, d):
+    """anchors_confirm of a stored table, by two parts of the receipts."""
+    path, receipts = shared_path(s, "anchors"), t.receipts(s, d)
+    buckets.write(t.anchors(s, d), path, "tx_hash")
+    for part in (0, 1):
+        buckets.confirm_anchors(s, path, receipts.where(F.pmod(F.xxhash64("tx_hash"), F.lit(2)) == part))
+    return _text(buckets.read(s, path, ANCHORS), "block_number")
+
+
 def queries() -> dict:
     own = [
         ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
@@ -473,6 +519,7 @@ def queries() -> dict:
         conversation_hashes, per_model_heads, canonical_events, keccak_documents, generated_events, models_recent_all, register_models, log_inferences, verify_recleaned, genesis_exists, anchors_append, anchored_events,
         provenance_report, stats_badges, events_from_args, requests_ingested, anchors_checked, frontier_root, anchor_due,
         block_by_hash_indexed, contract_events_source, events_by_hour, keyed_heads_streamed, anchors_confirm_within, verify_continued,
+        stats_maintained, blocks_per_model_maintained, models_update_stored, models_delete_stored, anchors_confirm_stored,
     ]
     return {f.__name__: f for f in own}
 

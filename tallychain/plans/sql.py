@@ -206,6 +206,11 @@ ORACLE |= {
     "block_by_hash_indexed": ORACLE["block_by_hash"],
     "verify_continued": ORACLE["verify_tampered"],
     "contract_events_source": ORACLE["contract_events"],
+    "stats_maintained": ORACLE["chain_stats"],
+    "blocks_per_model_maintained": ORACLE["blocks_per_model"],
+    "models_update_stored": ORACLE["models_update"],
+    "models_delete_stored": ORACLE["models_delete"],
+    "anchors_confirm_stored": ORACLE["anchors_confirm"],
     "events_by_hour": "with " + AGENTS + "select ts // 3600 * 3600 as start, action_type, count(*) as events from (select a.*, e.event_type as action_type from agents a join events e using (event_id)) where ts <= 2000000000 group by 1, 2",
     "keyed_heads_streamed": ORACLE["per_model_heads"],
     "anchors_confirm_within": ORACLE["anchors_confirm"].replace("left join receipts r using (tx_hash)", "left join receipts r on a.tx_hash = r.tx_hash and (a.last_block_index // 50) % 4 < 3"),
