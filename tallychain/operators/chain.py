@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.functions.canonical import reader_json
+from tallychain.functions.canonical import jcs, reader_json
 from tallychain.functions.hashing import block_hash
 from tallychain.functions.text import short
 from tallychain.operators.numbering import with_previous
 
 BLOCKS = "block_index long, ts long, data string, previous_hash string, hash string"
 ROOT = "0"
+#: Modes in which every block is checked and both kinds of error are reported.
+WRITERS = ("writer", "excluding")
 GENESIS_DATA = '{"metadata":{"description":"Genesis block"},"modelId":"genesis","type":"model_registration"}'
 
 
@@ -29,10 +31,11 @@ def fold(rows: DataFrame, previous: str = ROOT, keys: tuple[str, ...] = ()) -> D
 
     The recurrence is sequential, so one task streams a chain in order and keeps a single hash; only what is hashed goes through it, as Arrow
     batches. With keys there is one chain for each, and chains run in parallel, many to a task, none held in memory; a null key is a key
-    of its own.
+    of its own. Rows may have a text `covered`, which is hashed in place of data and not kept; where it is null, data is hashed.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    wide = rows.select(*keys, "block_index", "ts", "data")
+    kept = [*keys, "block_index", "ts", "data"]
+    wide = rows.select(*kept, *[c for c in rows.columns if c == "covered"])
     dealt = (wide.repartition(*keys) if keys else wide.repartition(1)).sortWithinPartitions(*keys, "block_index")
     blank = lambda x: "" if x is None else x
 
@@ -42,21 +45,21 @@ def fold(rows: DataFrame, previous: str = ROOT, keys: tuple[str, ...] = ()) -> D
             before, after = [], []
             columns = [batch.column(n).to_pylist() for n in range(batch.num_columns)]
             owners = zip(*columns[: len(keys)]) if keys else [()] * batch.num_rows
-            for own, i, ts, data in zip(owners, *columns[len(keys) :]):
+            for own, i, ts, data, *covered in zip(owners, *columns[len(keys) :]):
                 if own != owner:
                     owner, last = own, previous
                 before.append(last)
-                last = hashlib.sha256(f"{blank(i)}|{blank(ts)}|{blank(data)}|{last}".encode()).hexdigest()
+                last = hashlib.sha256(f"{blank(i)}|{blank(ts)}|{blank(next((c for c in covered if c is not None), data))}|{last}".encode()).hexdigest()
                 after.append(last)
             hashes = [pa.array(x, pa.string()) for x in (before, after)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *hashes], [*batch.schema.names, "previous_hash", "hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *hashes], [*kept, "previous_hash", "hash"])
 
     return dealt.mapInArrow(carry, "".join(f"{k} {kinds[k]}, " for k in keys) + BLOCKS)
 
 
 def append(blocks: DataFrame, rows: DataFrame, genesis_ts: int | None = None) -> DataFrame:
     """New blocks for rows(ord, ts, data) after the tip of blocks; not written. Indices go on from the tip's, in order of ord. data is stored as it
-    is; see writes.prepared for what makes a request's JSON a payload.
+    is; see writes.prepared for what makes a request's JSON a payload, and fold for rows with a text `covered`.
 
     An empty chain first gets its genesis block if genesis_ts is given, which is then among the new blocks; else its first row gets index 0.
     """
@@ -65,8 +68,8 @@ def append(blocks: DataFrame, rows: DataFrame, genesis_ts: int | None = None) ->
     tip = blocks.agg(F.max(F.struct("block_index", "hash")).alias("t")).select("t.*").first()
     index, last = (tip[0] + 1, tip[1]) if tip and tip[0] is not None else (0, ROOT)
     first = index == 0 and genesis_ts is not None
-    new = numbered(rows, "ord", "block_index", index + first).select("block_index", "ts", "data")
-    return fold(genesis(rows.sparkSession, genesis_ts).unionByName(new) if first else new, last)
+    new = numbered(rows, "ord", "block_index", index + first).select("block_index", "ts", "data", *[c for c in rows.columns if c == "covered"])
+    return fold(new.unionByName(genesis(rows.sparkSession, genesis_ts), allowMissingColumns=True) if first else new, last)
 
 
 def has_genesis(blocks: DataFrame) -> DataFrame:
@@ -76,11 +79,12 @@ def has_genesis(blocks: DataFrame) -> DataFrame:
 
 def checked(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     """blocks with expected_hash (recomputed), before (the hash of the block before by position) and whether either is off. In mode `recleaned`
-    the payload is cleaned and encoded anew before it is hashed, as the second verifier does; else its stored text is hashed. A block without an
+    the payload is cleaned and encoded anew before it is hashed, as the second verifier does; in mode `excluding` it is made canonical without
+    canonical.EXCLUDED, for chains whose payloads keep these keys, and a text that is no JSON is hashed as it is; else its stored text is. A block without an
     index has no place in the chain, so its link is broken; it comes before no other block."""
     placed = F.col("block_index").isNotNull()
     out = with_previous(blocks, "block_index", "hash", "before", "hash").withColumn("before", F.when(placed, F.col("before")).otherwise(""))
-    data = reader_json(F.col("data")) if mode == "recleaned" else F.col("data")
+    data = reader_json(F.col("data")) if mode == "recleaned" else F.coalesce(jcs(F.col("data")), "data") if mode == "excluding" else F.col("data")
     out = out.withColumn("expected_hash", block_hash(F.col("block_index"), F.col("ts"), data, F.col("previous_hash")))
     bad = F.coalesce(F.col("hash") != F.col("expected_hash"), F.lit(True))
     broken = F.col("before").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("before"))
@@ -94,7 +98,7 @@ def errors(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     Mode `recleaned` has the reader's rules on payloads cleaned anew.
     """
     c = checked(blocks, mode)
-    if mode != "writer":
+    if mode not in WRITERS:
         c = c.where(F.col("before").isNotNull()).withColumn("bad_hash", F.col("bad_hash") & ~F.col("broken_link"))
     label = F.concat(F.lit("Block "), F.coalesce(F.col("block_index").cast("string"), F.lit("without index")))
     wrong = F.struct(F.lit(1).alias("kind"), F.concat(label, F.lit(": Hash mismatch")).alias("message"))
@@ -107,7 +111,7 @@ def errors(blocks: DataFrame, mode: str = "writer") -> DataFrame:
 def verify(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     """One row: total, bad_hash, broken_links, invalid_blocks, is_valid. An empty chain is valid."""
     c = checked(blocks, mode)
-    if mode != "writer":
+    if mode not in WRITERS:
         first = F.col("before").isNull()
         c = c.withColumn("bad_hash", F.col("bad_hash") & ~F.col("broken_link") & ~first)
     sums = c.agg(F.count("*").alias("total"), F.count_if("bad_hash").alias("bad_hash"), F.count_if("broken_link").alias("broken_links"), F.count_if(F.col("bad_hash") | F.col("broken_link")).alias("invalid_blocks"))

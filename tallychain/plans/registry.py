@@ -333,7 +333,7 @@ NOTE = '"note":"a \\"quoted\\" <word>","x":["",null,1],"params":{"depth":null,"t
 
 def _told(written) -> DataFrame:
     """Acknowledgements with the block's fields beside each other; a nullable index is text."""
-    return written.acks.select("*", F.col("block.index").cast("string").alias("block_index"), F.col("block.hash").alias("block_hash")).drop("block")
+    return written.acks.select("*", F.col("block.index").cast("string").alias("block_index"), F.col("block.hash").alias("block_hash")).drop("block", "mlflow", "hashes")
 
 
 def register_models(s, d):
@@ -352,6 +352,40 @@ def log_inferences(s, d):
     return _told(writes.log_inferences(s.createDataFrame([], chain.BLOCKS), t.models(s, d).where("version = '1.0.14'"), r, t.GENESIS_TS))
 
 
+def _inferences_written(s: SparkSession, d: str, payload, keep: bool = False):
+    r = _inferences(s, d).select(F.col("block_index").alias("ord"), "ts", "model_id", "inference_id", payload.alias("payload"))
+    return writes.log_inferences(s.createDataFrame([], chain.BLOCKS), t.models(s, d).where("version = '1.0.14'"), r, t.GENESIS_TS, keep)
+
+
+def inferences_acknowledged(s, d):
+    """log_inferences as a service answers: with the hashes of input and output."""
+    told = _inferences_written(s, d, F.col("data")).acks
+    return told.select("ord", "inference_id", "success", F.col("hashes.input").alias("input_hash"), F.col("hashes.output").alias("output_hash"), F.col("block.hash").alias("block_hash"))
+
+
+def verify_excluded(s, d):
+    """The chain of log_inferences, of payloads that keep a store's own keys, which the hashes leave out: those keys differ in every block afterwards, and every
+    seventh previous hash is wrong."""
+    own = lambda time: F.concat(F.lit('{"_id":"x","createdAt":"'), time.cast("string"), F.lit('",'), F.substring("data", 2, 1 << 20))
+    blocks = staged(_inferences_written(s, d, own(F.col("ts")), True).blocks, "kept")
+    later = F.col("block_index") > 0
+    text = F.when(later, F.regexp_replace("data", '"createdAt":"', '"createdAt":"later than ')).otherwise(F.col("data"))
+    odd = blocks.withColumns({"data": text, "previous_hash": F.when(later & (F.col("block_index") % 7 == 0), "x").otherwise(F.col("previous_hash"))})
+    head = blocks.agg(F.max_by("hash", "block_index").alias("head"), F.count_if(F.col("data").contains('"createdAt"')).alias("kept"))
+    return chain.verify(odd, "excluding").join(head)  # one row with one row
+
+
+def models_registered(s, d):
+    """The registry rows that registrations with parameters, metrics and metadata leave, nested parts as JSON texts."""
+    r = t.models(s, d).withColumnRenamed("created_at", "ts")
+    asked = r.join(t.requests(s, d).where("type = 'model_registration'").select("model_id", "version", F.col("block_index").alias("ord")), ["model_id", "version"])
+    n = F.col("ord").cast("string")
+    payload = F.concat(F.lit('{"metrics":{"f1":0.5,"n":'), n, F.lit('},"params":{"layers":[1,{"w":'), n, F.lit('}],"note":"a \\"quoted\\" word"},"mlflow":{"modelHash":"h'), n, F.lit('"}}'))
+    written = writes.register_models(s.createDataFrame([], chain.BLOCKS), r.where("version = '1.0.1'"), asked.withColumn("payload", payload), t.GENESIS_TS)
+    told = written.acks.where("success").select("model_id", "version", F.col("mlflow.model_hash").alias("model_hash"))
+    return written.models.join(told, ["model_id", "version"])
+
+
 def verify_recleaned(s, d):
     return chain.verify(t.tampered(t.stored(s, d)), "recleaned")
 
@@ -520,6 +554,7 @@ def queries() -> dict:
         provenance_report, stats_badges, events_from_args, requests_ingested, anchors_checked, frontier_root, anchor_due,
         block_by_hash_indexed, contract_events_source, events_by_hour, keyed_heads_streamed, anchors_confirm_within, verify_continued,
         stats_maintained, blocks_per_model_maintained, models_update_stored, models_delete_stored, anchors_confirm_stored,
+        inferences_acknowledged, verify_excluded, models_registered,
     ]
     return {f.__name__: f for f in own}
 

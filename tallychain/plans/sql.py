@@ -206,6 +206,9 @@ ORACLE |= {
     "block_by_hash_indexed": ORACLE["block_by_hash"],
     "verify_continued": ORACLE["verify_tampered"],
     "contract_events_source": ORACLE["contract_events"],
+    "inferences_acknowledged": "select w.ord, w.inference_id, w.success, f.input_hash, f.output_hash, w.block_hash from (" + ORACLE["log_inferences"] + ") w join (" + BASE + "select inference_id, input_hash, output_hash from requests) f using (inference_id)",
+    "verify_excluded": "select count(block_hash) + 1 as total, count(*) filter (block_index::bigint % 7 = 0) as bad_hash, count(*) filter (block_index::bigint % 7 = 0) as broken_links, count(*) filter (block_index::bigint % 7 = 0) as invalid_blocks, count(*) filter (block_index::bigint % 7 = 0) = 0 as is_valid, arg_max(block_hash, block_index::bigint) as head, count(block_hash) as kept from (" + ORACLE["log_inferences"] + ")",
+    "models_registered": BASE + MODELS + "select m.model_id, m.name, m.version, m.created_at, '{\"layers\":[1,{\"w\":' || r.i || '}],\"note\":\"a \\\"quoted\\\" word\"}' as parameters, '{\"f1\":0.5,\"n\":' || r.i || '}' as metrics, cast(null as varchar) as metadata, 'h' || r.i as model_hash from models m join requests r on r.model_id = m.model_id and r.version = m.version where m.version <> '1.0.1'",
     "stats_maintained": ORACLE["chain_stats"],
     "blocks_per_model_maintained": ORACLE["blocks_per_model"],
     "models_update_stored": ORACLE["models_update"],
