@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys of a payload's top level that its hash leaves out.
@@ -164,6 +165,52 @@ def debug_json(text: Column) -> Column:
     return run(text)
 
 
+def _tokens(begin: str = "", empty: bool = True, without: tuple[str, ...] = (), escaped: str = "") -> str:
+    """A pattern of whole texts without spaces between their tokens: strings without escapes and whole numbers of at most 15 digits; begin is what they begin
+    with, empty whether they may hold null and empty parts, without keys that they lack, escaped characters that their strings lack. Each part
+    takes all it can and gives nothing back, so a text of any length is read once and without recursion."""
+    key = '(?!(?:' + "|".join(map(re.escape, without)) + ')":)' if without else ""
+    string = f'"{key}[^"\\\\\\x00-\\x1f{escaped}]{"*" if empty else "+"}+"'
+    opening = r"[{\[]|null" if empty else r"\{(?!\})|\[(?!\])"
+    return rf"\A{begin}(?:{string}|[}}\],:]|{opening}|-?[1-9][0-9]{{0,14}}+(?![0-9.eE])|0(?![0-9.eE])|true|false)++\z"
+
+
+#: What each form of a text needs: the exact form of a JSON value, and a pattern of the texts that only need their keys put in order.
+FORMS = {
+    "jcs": (lambda v: canonical(v, EXCLUDED), _tokens(without=EXCLUDED)),
+    "clean": (lambda v: canonical(clean(v)), _tokens(empty=False)),
+    "payload": (lambda v: canonical(clean(v), EXCLUDED), _tokens(empty=False, without=EXCLUDED)),
+    "reader": (lambda v: reader_text(clean(v, "reader")) if isinstance(v, dict) else None, _tokens(r"(?=\{)", False, escaped=r"<>&\x{2028}\x{2029}\x{10000}-\x{10ffff}")),
+}
+#: Spaces between tokens; strings are matched to be left as they are.
+SPACES = r"""("[^"]*+")|[ \t\r\n]++"""
+
+
+def native(rows: DataFrame, name: str, text: Column, form: str) -> DataFrame:
+    """rows with column `name`: the form of a JSON text by Spark's own variant, in the JVM; null where the text needs more than its keys put in order.
+
+    A variant keeps an object's keys in order of their UTF-16 units. A text of _tokens in canonical form is as long as it is without spaces, so
+    a result of another length (a key twice, something after the value) is not taken. Each step is a column, so that it is computed once.
+    """
+    steps = rows.withColumns({"__text": text})
+    steps = steps.withColumn("__flat", F.when(F.col("__text").rlike("[ \\t\\r\\n]"), F.regexp_replace("__text", SPACES, "$1")).otherwise(F.col("__text")))
+    steps = steps.withColumn(name, F.when(F.col("__flat").rlike(FORMS[form][1]), F.to_json(F.try_parse_json("__text"))))
+    return steps.withColumn(name, F.when(F.length(name) == F.length("__flat"), F.col(name))).drop("__flat", "__text")
+
+
+def with_text(rows: DataFrame, name: str, text: Column, form: str) -> DataFrame:
+    """rows with column `name`: the form of a JSON text, one of FORMS; null as jcs, clean_json, payload_json and reader_json have it. Only texts
+    without a native result are sent to Python."""
+    exact = FORMS[form][0]
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return _each(s, exact)
+
+    made = native(rows.withColumn("__source", text), "__own", F.col("__source"), form)
+    return made.withColumn(name, F.coalesce("__own", run(F.when(F.col("__own").isNull(), F.col("__source"))))).drop("__own", "__source")
+
+
 def text_to_long(text: Column) -> Column:
     """A text as a long; 0 if it is null or no whole number."""
     return F.coalesce(F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")), F.lit(0).cast("bigint"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallychain.functions.canonical import jcs, reader_json
+from tallychain.functions.canonical import with_text
 from tallychain.functions.hashing import block_hash
 from tallychain.functions.text import short
 from tallychain.operators.numbering import with_previous
@@ -84,8 +84,10 @@ def checked(blocks: DataFrame, mode: str = "writer") -> DataFrame:
     index has no place in the chain, so its link is broken; it comes before no other block."""
     placed = F.col("block_index").isNotNull()
     out = with_previous(blocks, "block_index", "hash", "before", "hash").withColumn("before", F.when(placed, F.col("before")).otherwise(""))
-    data = reader_json(F.col("data")) if mode == "recleaned" else F.coalesce(jcs(F.col("data")), "data") if mode == "excluding" else F.col("data")
-    out = out.withColumn("expected_hash", block_hash(F.col("block_index"), F.col("ts"), data, F.col("previous_hash")))
+    if mode in ("recleaned", "excluding"):
+        out = with_text(out, "hashed", F.col("data"), "reader" if mode == "recleaned" else "jcs")
+    data = F.col("hashed") if mode == "recleaned" else F.coalesce("hashed", "data") if mode == "excluding" else F.col("data")
+    out = out.withColumn("expected_hash", block_hash(F.col("block_index"), F.col("ts"), data, F.col("previous_hash"))).drop("hashed")
     bad = F.coalesce(F.col("hash") != F.col("expected_hash"), F.lit(True))
     broken = F.col("before").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("before"))
     return out.withColumns({"bad_hash": bad, "broken_link": broken})

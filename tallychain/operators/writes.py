@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallychain.functions.canonical import clean_json, jcs, payload_json
+from tallychain.functions.canonical import with_text
 from tallychain.operators import chain, registry
 from tallychain.operators.numbering import numbered
 from tallychain.session import staged
@@ -25,8 +25,8 @@ def prepared(requests: DataFrame, payload: Column, keep: bool = False) -> DataFr
     """requests with data: the payload, a JSON text, cleaned and canonical. What is no JSON has null data. Keys that hashes leave out are not stored;
     with keep they are, and `covered` is the text that the hash covers (such chains are verified in mode `excluding`)."""
     if keep:
-        return requests.withColumn("data", clean_json(payload)).withColumn("covered", jcs(F.col("data")))
-    return requests.withColumn("data", payload_json(payload))
+        return with_text(with_text(requests, "data", payload, "clean"), "covered", F.col("data"), "jcs")
+    return with_text(requests, "data", payload, "payload")
 
 
 def _part(*paths: str) -> Column:

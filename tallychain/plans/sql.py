@@ -192,6 +192,7 @@ ORACLE = {
     "stats_badges": TAMPERED + "select case when count(*) filter (bad or broken) = 0 then 'Passing' else 'Failing' end as badge from flags",
     "events_from_args": "select * replace (cast(ts as varchar) as ts) from (" + EVENTS + ")",
     "requests_ingested": BASE + "select model_id, inference_id, input_hash, output_hash from requests where type = 'inference'",
+    "canonical_paths": "select event_id, '{' || case when event_id % 4 = 1 then '\"A\":[true,{\"c\":\"é\"}],' else '' end || '\"props\":{\"k\":' || regexp_extract(props, '-?[0-9]+') || '},\"v\":' || event_id || '}' as canonical, event_id % 4 <> 0 as native from events",
     "canonical_events": "select event_id, '{\"k\":' || regexp_extract(props, '-?[0-9]+') || '}' as canonical, '{\"b\":{\"k\":' || regexp_extract(props, '-?[0-9]+') || '},\"c\":[{},\"\"]}' as cleaned from events",
     "register_models": BASE + WRITTEN.format(
         judged="select i as ord, ts, model_id, name, version, case when version = '1.0.1' then 'name and version exist' end as reason, '{\"modelId\":\"' || model_id || '\",\"modelName\":\"' || name || '\",\"note\":\"a \\\"quoted\\\" <word>\",\"type\":\"model_registration\",\"version\":\"' || version || '\",\"x\":[\"\",{},1]}' as data from requests where type = 'model_registration'",
