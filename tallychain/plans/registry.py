@@ -12,7 +12,7 @@ from tallychain.operators import anchors, audit, chain, frontier, hash_index, lo
 from tallychain.operators.numbering import numbered
 from tallychain.plans.sql import ORACLE
 from tallychain.session import shared_path, staged
-from tallychain.sources import buckets, logs
+from tallychain.sources import buckets, logs, variants
 from tallychain.sources import tables as t
 from tallychain.streaming import event_time, keyed
 from tallychain.streaming.append import ANCHORS
@@ -554,6 +554,27 @@ def anchors_confirm_stored(s, d):
     return _text(buckets.read(s, path, ANCHORS), "block_number")
 
 
+def _payloads(s, d):
+    """(event_id, payload): nested payloads, some with a null."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    note = F.when(n % 3 == 0, ',"note":null').otherwise("")
+    text = F.concat(F.lit('{"event":{"id":'), n.cast("string"), F.lit(',"type":"'), kind, F.lit('"},"params":'), "props", F.lit(',"tags":["'), kind, F.lit('",{"user":'), F.col("user_id").cast("string"), F.lit("}]"), note, F.lit("}"))
+    return variants.with_payload(t.table(s, d, "events").select("event_id", text.alias("data"))).drop("data")
+
+
+def payloads_filtered(s, d):
+    """Stored payloads by a nested field."""
+    path = shared_path(s, "payloads")
+    variants.write(_payloads(s, d), path)
+    stored = variants.read(s, path, "event_id long, payload variant")
+    found = stored.select("event_id", variants.field("$.params.k", "long").alias("k"), variants.field("$.event.type").alias("type"), variants.field("$.tags[1].user", "long").alias("user_id"))
+    return found.where("k >= 10 and k < 20")
+
+
+def payload_paths(s, d):
+    return variants.paths(_payloads(s, d))
+
+
 def queries() -> dict:
     own = [
         ledger_build, ledger_head, verify_chain, verify_tampered, verify_tampered_reader, verify_errors, chain_gaps, block_by_index, block_by_hash, blocks_page, blocks_page_unlimited,
@@ -564,7 +585,7 @@ def queries() -> dict:
         provenance_report, stats_badges, events_from_args, requests_ingested, anchors_checked, frontier_root, anchor_due,
         block_by_hash_indexed, contract_events_source, events_by_hour, keyed_heads_streamed, anchors_confirm_within, verify_continued,
         stats_maintained, blocks_per_model_maintained, models_update_stored, models_delete_stored, anchors_confirm_stored,
-        inferences_acknowledged, verify_excluded, models_registered,
+        inferences_acknowledged, verify_excluded, models_registered, payloads_filtered, payload_paths,
     ]
     return {f.__name__: f for f in own}
 

@@ -192,6 +192,8 @@ ORACLE = {
     "stats_badges": TAMPERED + "select case when count(*) filter (bad or broken) = 0 then 'Passing' else 'Failing' end as badge from flags",
     "events_from_args": "select * replace (cast(ts as varchar) as ts) from (" + EVENTS + ")",
     "requests_ingested": BASE + "select model_id, inference_id, input_hash, output_hash from requests where type = 'inference'",
+    "payloads_filtered": "select event_id, cast(regexp_extract(props, '-?[0-9]+') as bigint) as k, event_type as type, cast(user_id as bigint) as user_id from events where cast(regexp_extract(props, '-?[0-9]+') as bigint) between 10 and 19",
+    "payload_paths": "with p(path, kind) as (values ('$.event', 'OBJECT'), ('$.event.id', 'BIGINT'), ('$.event.type', 'STRING'), ('$.params', 'OBJECT'), ('$.params.k', 'BIGINT'), ('$.tags', 'ARRAY'), ('$.tags[]', 'STRING'), ('$.tags[]', 'OBJECT'), ('$.tags[].user', 'BIGINT'), ('$.note', 'VOID')) select path, kind, count(*) as values from p, events where kind <> 'VOID' or event_id % 3 = 0 group by path, kind",
     "canonical_paths": "select event_id, '{' || case when event_id % 4 = 1 then '\"A\":[true,{\"c\":\"é\"}],' else '' end || '\"props\":{\"k\":' || regexp_extract(props, '-?[0-9]+') || '},\"v\":' || event_id || '}' as canonical, event_id % 4 <> 0 as native from events",
     "canonical_events": "select event_id, '{\"k\":' || regexp_extract(props, '-?[0-9]+') || '}' as canonical, '{\"b\":{\"k\":' || regexp_extract(props, '-?[0-9]+') || '},\"c\":[{},\"\"]}' as cleaned from events",
     "register_models": BASE + WRITTEN.format(
