@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from tallychain.session import staged
 
 #: Levels that one task reduces: subtrees of 2 ** 12 leaves.
 LEVELS = 12
+#: Proofs of one run that one task makes at once.
+SLICE = 1 << 16
 #: Nodes on a level of the tree of a prefix.
 WIDTH = "cast(ceil(length / cast(shiftleft(1L, level) as decimal(20))) as long)"
 
@@ -138,27 +142,56 @@ def prefix_roots(leaves: DataFrame, lengths: DataFrame, tree: Tree = POSITIONAL)
 
 
 def inclusion_proofs(leaves: DataFrame, asked: DataFrame, tree: Tree = POSITIONAL) -> DataFrame:
-    """asked(length, pos) -> (length, pos, siblings: array of (level, on_left, node), root: hex): the proof that leaf pos is in the tree of the
+    """asked(length, pos) -> (length, pos, leaf, siblings: array of (level, on_left, node), root: hex): the proof that leaf pos is in the tree of the
     first `length` leaves, for each distinct pair that there are leaves for.
 
-    A sibling before its level's last node is a complete node, met by a join of the asked positions; the last node is the prefix's own.
+    A sibling before its level's last node is a complete node; the last node is the prefix's own. The complete nodes beside a leaf up to LEVELS are in its
+    aligned run of leaves, so one task makes them for all that is asked of a run; those above are the same for the whole run.
     """
     leaves = staged(leaves.select("pos", "leaf"), "leaves")
     nodes = complete_nodes(leaves, tree)
-    wanted = asked.select(F.col("length").cast("long").alias("length"), F.col("pos").cast("long").alias("pos")).where("pos >= 0 and pos < length").distinct()
+    run = F.shiftright("pos", LEVELS).alias("run")
+    wanted = staged(asked.select(F.col("length").cast("long").alias("length"), F.col("pos").cast("long").alias("pos")).where("pos >= 0 and pos < length").distinct(), "asked")
     spines = staged(_spines(nodes, wanted.select("length"), tree), "spines")
-    steps = wanted.select("length", "pos", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")).withColumn("width", F.expr(WIDTH)).where("width > 1")
-    steps = steps.withColumn("other", F.expr("shiftright(pos, level)").bitwiseXOR(F.lit(1).cast("long")))
-    inner = steps.where("other < width - 1").join(nodes.withColumnRenamed("pos", "other"), ["level", "other"]).select("length", "pos", F.struct("level", F.expr("shiftright(pos, level) % 2 = 1").alias("on_left"), "node").alias("s"))
-    last = steps.where("other >= width - 1" if tree.duplicate else "other = width - 1").join(spines, "length")
-    last = last.select("length", "pos", F.struct("level", F.lit(False).alias("on_left"), F.expr("spine[level]").alias("node")).alias("s"))
-    found = inner.union(last).groupBy("length", "pos").agg(F.sort_array(F.collect_list("s")).alias("siblings"))
-    roots_ = spines.select("length", F.lower(F.hex(F.element_at("spine", -1))).alias("root"))
-    return wanted.join(roots_, "length").join(found, ["length", "pos"], "left").select("length", "pos", F.coalesce("siblings", F.array().cast(found.schema["siblings"].dataType)).alias("siblings"), "root")
+    levels = LEVELS  # as of now, for the tasks
+
+    def beside(own: pa.Table, some: pa.Table) -> pa.Table:
+        own, pos = own.sort_by("pos"), some["pos"].to_numpy()
+        now, parts = own["leaf"].to_pylist() if len(pos) else [], []
+        first = own["pos"][0].as_py() if now else 0
+        taken = lambda at: pa.array(now, pa.binary()).take(pa.array(at, pa.int64(), mask=at >= len(now)))
+        leaf = taken(pos - first)
+        for level in range(levels):
+            parts.append(taken((pos >> level ^ 1) - (first >> level)))
+            now = tree.up(now[: len(now) // 2 * 2]) if len(now) > 1 else []
+        order = np.arange(levels * len(pos)).reshape(levels, -1).T.ravel()
+        near = pa.ListArray.from_arrays(np.arange(0, len(order) + 1, levels, dtype=np.int32), pa.concat_arrays(parts).take(pa.array(order, pa.int64())))
+        return pa.table({"length": some["length"], "pos": some["pos"], "leaf": leaf, "near": near})
+
+    # what is asked of one run, by many lengths, is dealt in slices of about SLICE rows
+    slices = staged(wanted.groupBy(run).agg(F.ceil(F.count("*") / SLICE).alias("slices")), "slices")
+    held = leaves.select("pos", "leaf", run).join(slices, "run").select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "pos", "leaf")
+    some = wanted.select("length", "pos", run).join(slices, "run").select("run", F.pmod(F.xxhash64("length", "pos"), "slices").alias("slice"), "length", "pos")
+    low = held.groupBy("run", "slice").cogroup(some.groupBy("run", "slice")).applyInArrow(beside, "length long, pos long, leaf binary, near array<binary>")
+
+    above = slices.select("run", F.explode(F.sequence(F.lit(levels), F.lit(62))).alias("level")).withColumn("pos", F.expr(f"shiftright(run, level - {levels})").bitwiseXOR(F.lit(1).cast("long")))
+    high = above.join(nodes.where(F.col("level") >= levels), ["level", "pos"]).groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("level", "node"))).alias("far"))
+    odd = "true" if tree.duplicate else "(shiftright(pos, level) ^ 1) = shiftright(length - 1, level)"
+    inner = f"named_struct('level', level, 'on_left', shiftright(pos, level) % 2 = 1, 'node', if(level < {levels}, near[level], far[level]))"
+    steps = f"transform(slice(spine, 1, size(spine) - 1), (last, level) -> case when (shiftright(pos, level) ^ 1) < shiftright(length - 1, level) then {inner} when {odd} then named_struct('level', level, 'on_left', false, 'node', last) end)"
+    met = low.join(spines, "length").withColumn("run", run).join(high, "run", "left")
+    return met.select("length", "pos", "leaf", F.filter(F.expr(steps), lambda s: s.isNotNull()).alias("siblings"), F.lower(F.hex(F.element_at("spine", -1))).alias("root"))
 
 
 def proven(leaf: Column, siblings: Column, root_: Column, tree: Tree = POSITIONAL) -> Column:
     """Whether the siblings lead from a leaf to the root in hex."""
+    if tree.hash == "sha256":
+
+        def up(node: Column, s: Column) -> Column:
+            pair = F.concat(F.least(node, s["node"]), F.greatest(node, s["node"])) if tree.sort_pairs else F.when(s["on_left"], F.concat(s["node"], node)).otherwise(F.concat(node, s["node"]))
+            return F.unhex(F.sha2(pair, 256))
+
+        return F.aggregate(siblings, leaf, up) == F.unhex(root_)
 
     @F.pandas_udf("boolean")
     def run(leaf: pd.Series, siblings: pd.Series, root_: pd.Series) -> pd.Series:

@@ -209,7 +209,7 @@ def inclusion_proofs(s, d):
     leaves = _leaves(s, d)
     length = leaves.agg(F.count("*").alias("length"))
     made = merkle.inclusion_proofs(leaves, leaves.select("pos").join(F.broadcast(length)))  # one row
-    return made.join(leaves, "pos").select("pos", F.size("siblings").alias("steps"), merkle.proven(F.col("leaf"), F.col("siblings"), F.col("root")).alias("proven"))
+    return made.select("pos", F.size("siblings").alias("steps"), merkle.proven(F.col("leaf"), F.col("siblings"), F.col("root")).alias("proven"))
 
 
 def anchor_decision(s, d):

@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallychain.operators import merkle
 from tallychain.plans import registry
@@ -39,3 +40,23 @@ def test_every_anchor_is_checked(spark):
     assert {i for i, r in found.items() if not r.proven} == {i for i in last if i // t.ANCHOR_STEP % t.WRONG_ROOT == 0}
     blocks = registry.queries()["inclusion_proofs"](spark, SF).collect()
     assert sorted(r.pos for r in blocks) == list(range(len(leaves))) and all(r.proven for r in blocks)
+
+
+@pytest.mark.parametrize("tree", [merkle.POSITIONAL, merkle.SORTED, merkle.Tree("sha256", True, False)])
+def test_proofs_of_one_run_in_slices_lead_to_the_root(spark, tree, monkeypatch):
+    monkeypatch.setattr(merkle, "LEVELS", 3)
+    monkeypatch.setattr(merkle, "SLICE", 4)
+    plain = [hashlib.sha256(str(i).encode()).digest() for i in range(21)]
+    leaves = spark.createDataFrame(list(enumerate(plain)), "pos long, leaf binary").repartition(3)
+    asked = [(n, p) for n in range(1, 22) for p in range(n)]
+    made = merkle.inclusion_proofs(leaves, spark.createDataFrame(asked, "length long, pos long"), tree)
+    wrong = F.when(F.col("pos") % 5 == 0, F.unhex(F.sha2("leaf", 256))).otherwise(F.col("leaf"))
+    rows = made.select("length", "pos", "leaf", "siblings", merkle.proven(F.col("leaf"), F.col("siblings"), F.col("root"), tree).alias("right"), merkle.proven(wrong, F.col("siblings"), F.col("root"), tree).alias("other")).collect()
+    assert {(r.length, r.pos): [(s.on_left, bytes(s.node)) for s in r.siblings] for r in rows} == {(n, p): merkle.proof(plain[:n], p, tree) for n, p in asked}
+    assert all(r.right and bytes(r.leaf) == plain[r.pos] and r.other == (r.pos % 5 > 0) for r in rows)
+
+
+def test_nodes_beside_a_leaf_are_made_by_the_task_of_its_run(spark):
+    leaves = spark.range(10).select(F.col("id").alias("pos"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("leaf"))
+    plan = merkle.inclusion_proofs(leaves, leaves.selectExpr("10L as length", "pos"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
