@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallychain.functions.canonical import debug_json, text_to_long
 from tallychain.functions.text import iso
 from tallychain.operators import chain
+from tallychain.session import staged
 
 
 def by_index(blocks: DataFrame, index: int) -> DataFrame:
@@ -20,8 +21,23 @@ def by_hash(blocks: DataFrame, hash_: str) -> DataFrame:
 
 def page(rows: DataFrame, order: list, limit: int = 10, skip: int = 0) -> DataFrame:
     """Rows from skip on, at most limit of them; a limit of 0 is no limit."""
-    out = rows.orderBy(*order).offset(skip)
-    return out.limit(limit) if limit else out
+    if limit:
+        return rows.orderBy(*order).offset(skip).limit(limit)
+    return _after(rows, order, skip) if skip else rows.orderBy(*order)
+
+
+def _after(rows: DataFrame, order: list, skip: int) -> DataFrame:
+    """All rows but the first `skip`, in order. An offset without a limit takes all rows through one task; here they are sorted once into the shared folder
+    under numbers (a partition's in its upper bits, then the row's in it), so that counts of the partitions tell the number of the first row to stay."""
+    number = "__number"
+    placed = staged(rows.orderBy(*order).withColumn(number, F.monotonically_increasing_id()), "page")
+    first = None
+    for part, n in sorted(tuple(r) for r in placed.groupBy(F.shiftright(number, 33)).count().collect()):
+        if skip < n:
+            first = (part << 33) + skip
+            break
+        skip -= n
+    return placed.where(F.col(number) >= F.lit(first)).orderBy(number).drop(number)
 
 
 def model_by_id(models: DataFrame, model_id: str) -> DataFrame:
