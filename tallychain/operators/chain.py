@@ -6,16 +6,19 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallychain.functions.canonical import with_text
 from tallychain.functions.hashing import block_hash
 from tallychain.functions.text import short
-from tallychain.operators.numbering import with_previous
+from tallychain.operators.numbering import SPAN, with_previous
+from tallychain.session import shared_path
 
 BLOCKS = "block_index long, ts long, data string, previous_hash string, hash string"
 ROOT = "0"
+#: Blocks that one task hashes, blocks of one file of a chain, and the range of blocks without an index.
+SEGMENT, PER_FILE, FIRST = 1 << 20, 1 << 18, -(1 << 62)
 #: Modes in which every block is checked and both kinds of error are reported.
 WRITERS = ("writer", "excluding")
 GENESIS_DATA = '{"metadata":{"description":"Genesis block"},"modelId":"genesis","type":"model_registration"}'
@@ -26,21 +29,53 @@ def genesis(spark: SparkSession, ts: int, data: str = GENESIS_DATA) -> DataFrame
     return spark.createDataFrame([(0, ts, data)], "block_index long, ts long, data string")
 
 
-def fold(rows: DataFrame, previous: str = ROOT, keys: tuple[str, ...] = ()) -> DataFrame:
+def fold(rows: DataFrame, previous: str = ROOT, keys: tuple[str, ...] = (), segment: int | None = None) -> DataFrame:
     """rows(*keys, block_index, ts, data) -> the same with previous_hash and hash, each block's hash covering its predecessor's.
 
-    The recurrence is sequential, so one task streams a chain in order and keeps a single hash; only what is hashed goes through it, as Arrow
-    batches. With keys there is one chain for each, and chains run in parallel, many to a task, none held in memory; a null key is a key
-    of its own. Rows may have a text `covered`, which is hashed in place of data and not kept; where it is null, data is hashed.
+    The recurrence is sequential; only what is hashed goes through it, as Arrow batches. Without keys the rows are first laid out by ranges of the index in
+    the shared folder, and one task after the other hashes a segment of at most about `segment` rows from the last hash of the one before, so that no task
+    reads the whole chain; more than one segment is hashed when this is called. With keys there is one chain for each, and chains run in parallel, many to a
+    task, none held in memory; a null key is a key of its own. Rows may have a text `covered`, which is hashed in place of data and not kept; where it is
+    null, data is hashed. Rows without an index come first; those of one index lie in one segment.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     kept = [*keys, "block_index", "ts", "data"]
     wide = rows.select(*kept, *[c for c in rows.columns if c == "covered"])
-    dealt = (wide.repartition(*keys) if keys else wide.repartition(1)).sortWithinPartitions(*keys, "block_index")
+    if keys:
+        return _hashed(wide.repartition(*keys).sortWithinPartitions(*keys, "block_index"), previous, keys).drop("at")
+    spark, laid, out = rows.sparkSession, shared_path(rows.sparkSession, "rows"), shared_path(rows.sparkSession, "folded")
+    size = segment or SEGMENT
+    part = F.coalesce(F.floor(F.col("block_index") / F.lit(size)).cast("long"), F.lit(FIRST).cast("long"))
+    wide = wide.withColumn("part", part)
+    wide.repartition("part", F.floor(F.col("block_index") / F.lit(SPAN))).write.partitionBy("part").parquet(laid)
+    stored = spark.read.schema(wide.schema).parquet(laid)
+    steps: list[list[int]] = []  # first range, last range, rows
+    for lo, n in sorted(tuple(r) for r in stored.groupBy("part").count().collect()):
+        if steps and steps[-1][2] + n <= size:
+            steps[-1][1:] = lo, steps[-1][2] + n
+        else:
+            steps.append([lo, lo, n])
+
+    def hashed(lo: int, hi: int, last: str) -> DataFrame:
+        return _hashed(stored.where(F.col("part").between(lo, hi)).drop("part").coalesce(1).sortWithinPartitions("block_index"), last)
+
+    if len(steps) < 2:
+        return hashed(*(steps[0][:2] if steps else (FIRST, FIRST)), previous).drop("at")
+    for number, (lo, hi, _) in enumerate(steps):
+        tip = Observation()
+        made = hashed(lo, hi, previous).observe(tip, F.max(F.struct("at", "hash")).alias("last"))
+        made.drop("at").write.option("maxRecordsPerFile", PER_FILE).parquet(f"{out}/step={number}")
+        previous = tip.get["last"]["hash"]
+    return spark.read.schema(made.drop("at").schema).parquet(*[f"{out}/step={n}" for n in range(len(steps))])
+
+
+def _hashed(dealt: DataFrame, previous: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each partition's rows in their order, with previous_hash, hash and their place in the partition."""
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    kept = [*keys, "block_index", "ts", "data"]
     blank = lambda x: "" if x is None else x
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, last = None, previous
+        owner, last, at = None, previous, 0
         for batch in batches:
             before, after = [], []
             columns = [batch.column(n).to_pylist() for n in range(batch.num_columns)]
@@ -51,10 +86,12 @@ def fold(rows: DataFrame, previous: str = ROOT, keys: tuple[str, ...] = ()) -> D
                 before.append(last)
                 last = hashlib.sha256(f"{blank(i)}|{blank(ts)}|{blank(next((c for c in covered if c is not None), data))}|{last}".encode()).hexdigest()
                 after.append(last)
-            hashes = [pa.array(x, pa.string()) for x in (before, after)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *hashes], [*kept, "previous_hash", "hash"])
+            places = pa.array(range(at, at + batch.num_rows), pa.int64())
+            at += batch.num_rows
+            made = [*batch.columns[: len(kept)], *(pa.array(x, pa.string()) for x in (before, after)), places]
+            yield pa.RecordBatch.from_arrays(made, [*kept, "previous_hash", "hash", "at"])
 
-    return dealt.mapInArrow(carry, "".join(f"{k} {kinds[k]}, " for k in keys) + BLOCKS)
+    return dealt.mapInArrow(carry, "".join(f"{k} {kinds[k]}, " for k in keys) + BLOCKS + ", at long")
 
 
 def append(blocks: DataFrame, rows: DataFrame, genesis_ts: int | None = None) -> DataFrame:
