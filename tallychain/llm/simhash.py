@@ -18,22 +18,31 @@ SEED = 42
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
-    """Unsigned 64-bit fingerprint: a bit is 1 if it is set in over half of the shingles' XXH64; no word: 0."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each of a text's shingles in order, repeats included; all words in one where there are fewer than width, none without a word."""
     words = (text or "").encode().lower().split()  # bytes: lower() is A-Z only, split() is 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    first = np.concatenate(([0], ends[:-1] + 1))
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    first, last, digest = first[: len(last)].tolist(), last.tolist(), xxhash.xxh64_intdigest
+    first = np.concatenate(([0], ends[:-1] + 1))[: len(last)]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint: a bit is 1 if it is set in over half of the hashes; none: 0."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(first), CHUNK):
-        some = [digest(joined[a:b], seed) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])]
-        bits = np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(first))
+    for at in range(0, len(hashes), CHUNK):
+        some = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(hashes))
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
+    """The fingerprint of a text's shingles; no word: 0."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from tallychain.llm import near, simhash
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -54,3 +55,27 @@ def test_dedup_stage_equals_brute_force(spark):
     kept = dict(corpus_pipeline.STAGES)["dedup"](spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if root[i] == i]
+
+
+def test_simhash_proposes_ties_of_the_dedup_stage(spark, monkeypatch):
+    texts = made_texts()
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
+    fps, proposed, real = [simhash.fingerprint(t, 5) for t in texts], [], near.hashed_ties
+    of_set = {near.xxhash.xxh64_intdigest(near.shingles(t).tobytes(), near.SEED): t for t in texts}
+
+    def seen(sets):
+        assert sorted(r.fp % (1 << 64) for r in sets.select("fp").distinct().collect()) == sorted(set(fps))
+        ties = real(sets)
+        proposed.extend((of_set[r.u % (1 << 64)], of_set[r.v % (1 << 64)]) for r in ties.collect())
+        return ties
+
+    monkeypatch.setattr(near, "hashed_ties", seen)
+    near.keep_one(docs).collect()
+    reach = {f: {f} for f in fps}
+    for f, g in combinations(set(fps), 2):
+        if bin(f ^ g).count("1") <= near.BITS:
+            reach[f] |= reach[g]
+            for h in reach[f]:
+                reach[h] = reach[f]
+    assert len(proposed) > 5
+    assert all(simhash.fingerprint(a, 5) in reach[simhash.fingerprint(b, 5)] for a, b in proposed)
